@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,10 @@ from pyspark.sql.types import StringType
 TAG_PATTERN = "<.*?>"
 
 
+# Visible ASCII but "<": cleaning keeps such a character, so text that starts with one has content.
+_PLAIN_START = "^[!-;=-~]"
+
+
 def strip_tags(column: Column) -> Column:
     return F.regexp_replace(column, TAG_PATTERN, "")
 
@@ -56,8 +62,8 @@ def _as_ranges(points: list[int]) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
 
 
-_NOT_ASCII = "[^\\x00-\\x7F]"
-_NOT_DIRECT = f"[^\\x00-\\x7F{_as_ranges(sorted(map(ord, _DIRECT)))}]"
+_ASCII_RUN = "[\\x00-\\x7F]+"
+_NOT_DIRECT = f"[^{_as_ranges(sorted(map(ord, _DIRECT)))}]"
 
 
 @F.pandas_udf(StringType())
@@ -68,22 +74,70 @@ def _nfkd_without_accents(texts: pd.Series) -> pd.Series:
 def remove_accents(column: Column) -> Column:
     """Compatibility decomposition (NFKD) without combining characters; null stays null.
 
-    Spark SQL has no normalisation function. ASCII text passes as it is, text of
-    common Latin letters goes through ``translate``, and only rows with other
-    characters carry their text to the Arrow function.
+    Spark SQL has no normalisation function. ASCII text (as many bytes as
+    characters) passes as it is, text of common Latin letters goes through
+    ``translate``, and only rows with other characters carry their text to the
+    Arrow function. The rare characters are sought among those beyond ASCII,
+    because a class of many ranges is slow on long text.
     """
-    rare = _nfkd_without_accents(F.when(column.rlike(_NOT_DIRECT), column))
-    common = F.when(column.rlike(_NOT_ASCII), F.translate(column, _FROM, _TO)).otherwise(column)
+    is_ascii = F.length(column) == F.octet_length(column)
+    has_rare = F.regexp_replace(column, _ASCII_RUN, "").rlike(_NOT_DIRECT)
+    rare = _nfkd_without_accents(F.when(~is_ascii & has_rare, column))
+    common = F.when(is_ascii, column).otherwise(F.translate(column, _FROM, _TO))
     return F.coalesce(rare, common)
 
 
+# Fixed value: the whitespace characters of Java's \\s.
+_WHITESPACE = " \t\n\x0b\f\r"
+
+
+@cache
+def _removed_whole() -> str:
+    """Pattern of text that accent removal leaves empty."""
+    points = [p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))]
+    return f"^[{_as_ranges(points)}]*$"
+
+
+def has_content(column: Column) -> Column:
+    """Whether trimmed text still holds a character once tags and accents are gone.
+
+    The test needs neither the cleaned text nor Python, so the optimizer can
+    run it first. Most texts are settled by their first character.
+    """
+    trimmed = F.trim(column)
+    return F.when(trimmed.rlike(_PLAIN_START), True).otherwise(
+        ~strip_tags(trimmed).rlike(_removed_whole())
+    )
+
+
 def whitespace_tokens(column: Column) -> Column:
     """Lower-cased text cut at each whitespace character, as ``ml.feature.Tokenizer`` does.
 
     Inner empty tokens stay and trailing ones go; text of whitespace only has
     no tokens, while the empty string has one empty token.
     """
-    lowered = F.lower(column)
-    kept = F.regexp_replace(lowered, "\\s+$", "")
-    only_space = (kept == "") & (lowered != "")
+    kept = F.rtrim(F.lower(column), F.lit(_WHITESPACE))
+    only_space = (kept == "") & (column != "")
     return F.when(only_space, F.array().cast("array<string>")).otherwise(F.split(kept, "\\s"))
+
+
+def pattern_tokens(column: Column, pattern: str, gaps: bool = True, min_length: int = 1) -> Column:
+    """Lower-cased text cut at, or into, matches of ``pattern``, as ``RegexTokenizer`` does."""
+    if min_length < 1:
+        raise ValueError("min_length must be at least 1")
+    lowered = F.lower(column)
+    parts = F.split(lowered, pattern) if gaps else F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
+    return F.filter(parts, lambda t: F.length(t) >= min_length)
+
+
+def without_words(tokens: Column, words: list[str]) -> Column:
+    """Tokens that are not among ``words``, whatever their case; repeats stay."""
+    listed = [w.lower() for w in words]
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(listed))
+
+
+def joined_ngrams(tokens: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring tokens joined by spaces; none if there are fewer tokens."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))

@@ -132,9 +132,12 @@ def intercepts(spark: SparkSession, model, labels: Sequence[str]) -> DataFrame:
 
 
 def coefficients(spark: SparkSession, model, labels: Sequence[str]) -> DataFrame:
-    """Coefficients that are not zero, one row per class and slot."""
-    matrix = model.coefficientMatrix.toArray()
-    rows = [(labels[c], int(s), float(matrix[c, s])) for c, s in zip(*matrix.nonzero())]
+    """One row per class and slot."""
+    rows = [
+        (label, slot, float(value))
+        for label, row in zip(labels, model.coefficientMatrix.toArray())
+        for slot, value in enumerate(row)
+    ]
     return spark.createDataFrame(rows, "label string, slot bigint, coefficient double")
 
 

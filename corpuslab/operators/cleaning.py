@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from corpuslab.functions.text import is_blank, remove_accents, strip_tags
+from corpuslab.functions.text import has_content, is_blank, remove_accents, strip_tags
 
 
 def trim_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,17 +30,16 @@ def drop_blank(df: DataFrame, column: str) -> DataFrame:
 
 def clean_corpus(df: DataFrame, text_columns: Sequence[str], class_columns: Sequence[str] = (),
                  required: str | None = None) -> DataFrame:
-    """Trim, strip tags (text only), remove accents, then drop rows with blank ``required``.
+    """Trim, strip tags (text only), remove accents; rows whose ``required`` is blank then go.
 
-    The blank test runs twice. Before the accent step it spares Python the rows
-    that are blank already; after it, it catches text of combining marks only.
+    Blank rows are recognised before the accent step. A filter on its result
+    would run that step, Python included, a second time.
     """
+    if required:
+        df = df.where(has_content(F.col(required)))
     df = trim_columns(df, [*text_columns, *class_columns])
     df = strip_tag_columns(df, text_columns)
-    if required:
-        df = drop_blank(df, required)
-    df = remove_accent_columns(df, [*text_columns, *class_columns])
-    return drop_blank(df, required) if required else df
+    return remove_accent_columns(df, [*text_columns, *class_columns])
 
 
 def corpus_of(df: DataFrame, text_column: str, keep: Sequence[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from corpuslab.functions.hashing import hash_bucket
 from corpuslab.functions.text import whitespace_tokens
 from corpuslab.operators.joins import lookup_join
-from corpuslab.operators.profiling import class_table
 from corpuslab.operators.tfidf import smoothed_idf
 from corpuslab.session import materialize
 
@@ -109,11 +108,15 @@ def fit_naive_bayes(
     All per-term numbers come from one aggregation by term with partial counts
     in each task, so a very frequent term costs one row per task.
     """
-    training = df.where(train)
-    listed = class_table(training, label).orderBy("class_index").collect()
-    classes = [r[label] for r in listed]
-
-    source = df if idf == IDF_ALL else training
+    # One row per class and part; the order is that of a string index.
+    sizes = df.groupBy(F.col(label).alias("label"), train.alias("is_train")).agg(
+        F.count(F.lit(1)).alias("n")
+    ).collect()
+    listed = sorted((r for r in sizes if r["is_train"]), key=lambda r: (-r["n"], r["label"]))
+    classes = [r["label"] for r in listed]
+    n_docs = sum(r["n"] for r in sizes if r["is_train"] or idf == IDF_ALL)
+
+    source = df if idf == IDF_ALL else df.where(train)
     rows = source.select(
         F.col(label).alias("label"), train.alias("is_train"),
         term_array(F.col(text), buckets).alias("terms"),
@@ -138,7 +141,7 @@ def fit_naive_bayes(
 
     weight = F.lit(1.0)
     if idf != IDF_NONE:
-        weight = smoothed_idf(F.lit(source.count()), F.col("doc_freq"))
+        weight = smoothed_idf(F.lit(n_docs), F.col("doc_freq"))
     terms = materialize(
         counts.withColumn("weight", weight).select(
             "term", "n", "weight",

@@ -1,62 +1,73 @@
-"""Tokens, n-grams and term counts."""
+"""Tokens, n-grams and term counts.
+
+Tokens come from built-in functions, which stay inside code generation; they
+give the same arrays as the transformers of ``pyspark.ml.feature``, which the
+classifier pipelines use.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import HashingTF, StopWordsRemover
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import hash_bucket
-from corpuslab.functions.text import whitespace_tokens
+from corpuslab.functions.text import (
+    joined_ngrams, pattern_tokens, whitespace_tokens, without_words,
+)
 
 # Fixed value: the usual cap on a count vectoriser's vocabulary.
 VOCABULARY_CAP = 262144
 
 
 def tokenize(df: DataFrame, text: str, output: str = "tokens") -> DataFrame:
-    return Tokenizer(inputCol=text, outputCol=output).transform(df)
+    return df.withColumn(output, whitespace_tokens(F.col(text)))
 
 
 def regex_tokenize(df: DataFrame, text: str, pattern: str, gaps: bool = True,
                    min_length: int = 1, output: str = "tokens") -> DataFrame:
-    tokenizer = RegexTokenizer(
-        inputCol=text, outputCol=output, pattern=pattern, gaps=gaps, minTokenLength=min_length
-    )
-    return tokenizer.transform(df)
+    return df.withColumn(output, pattern_tokens(F.col(text), pattern, gaps, min_length))
 
 
 def remove_stop_words(df: DataFrame, tokens: str, words: Sequence[str] | None = None,
                       language: str = "portuguese", output: str = "kept") -> DataFrame:
     """Arrays without stop words: the given ones, or Spark's list for the language."""
-    remover = StopWordsRemover(inputCol=tokens, outputCol=output)
-    remover.setStopWords(list(words) if words is not None else
-                         StopWordsRemover.loadDefaultStopWords(language))
-    return remover.transform(df)
+    listed = list(words) if words is not None else StopWordsRemover.loadDefaultStopWords(language)
+    return df.withColumn(output, without_words(F.col(tokens), listed))
 
 
 def ngrams(df: DataFrame, tokens: str, n: int = 3, output: str = "ngrams") -> DataFrame:
-    return NGram(n=n, inputCol=tokens, outputCol=output).transform(df)
+    return df.withColumn(output, joined_ngrams(F.col(tokens), n))
 
 
 def token_counts(df: DataFrame, tokens: str, output: str = "n_tokens") -> DataFrame:
     return df.withColumn(output, F.size(tokens).cast("bigint"))
 
 
-def positions(df: DataFrame, tokens: str, keep: Sequence[str], output: str = "term") -> DataFrame:
+def elements(df: DataFrame, arrays: str, keep: Sequence[str] = (), output: str = "term") -> DataFrame:
+    """One row per array element.
+
+    For a plain ``explode`` of a column Spark adds a filter on the array's size
+    and moves it down to the scan, where it computes the whole array once more.
+    The outer form, with its null rows dropped afterwards, avoids that.
+    """
+    return df.select(*keep, F.explode_outer(arrays).alias(output)).where(F.col(output).isNotNull())
+
+
+def positions(df: DataFrame, arrays: str, keep: Sequence[str], output: str = "term") -> DataFrame:
     """One row per array element, with its position."""
-    return df.select(*keep, F.posexplode(tokens).alias("pos", output)).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    exploded = df.select(*keep, F.posexplode_outer(arrays).alias("pos", output))
+    return exploded.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def top_elements(df: DataFrame, arrays: str, k: int, output: str) -> DataFrame:
     """The ``k`` most frequent array elements, ties by value."""
     return (
-        df.select(F.explode(arrays).alias(output))
+        elements(df, arrays, output=output)
         .groupBy(output)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.col("n").desc(), F.col(output))

@@ -12,7 +12,7 @@ from corpuslab.sources.tables import load_table
 
 
 def _embeddings(spark, sf_dir):
-    return load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"], "vec_id")
+    return load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
 
 
 def _assigned(spark, sf_dir):

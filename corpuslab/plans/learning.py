@@ -27,8 +27,6 @@ def _train_test(df):
     return df.where("split = 0").drop("split"), df.where("split = 1").drop("split")
 
 
-# ---- naive Bayes as tables ----
-
 def nb_sql(idf: str = naive_bayes.IDF_NONE, buckets: int | None = None) -> str:
     """WITH clause ending in ``theta`` (log-likelihoods) and ``pred`` (predictions)."""
     term = "term" if buckets is None else f"{sql.bucket('term', buckets)} AS term"
@@ -108,8 +106,6 @@ def nb_hashed_tfidf_predict(spark, sf_dir):
     return nb_predictions(spark, sf_dir, naive_bayes.IDF_ALL, classifiers.TEXT_FEATURES)
 
 
-# ---- pyspark.ml models ----
-
 @query("nb_counted_tfidf_ml_predict",
        nb_sql(naive_bayes.IDF_TRAIN) + " SELECT doc_id, label, prediction FROM pred")
 def nb_counted_tfidf_ml_predict(spark, sf_dir):
@@ -145,7 +141,7 @@ def _text_parts(spark, sf_dir, num_features=TREE_FEATURES):
 
 
 def _embedding_parts(spark, sf_dir):
-    rows = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"], "vec_id")
+    rows = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     vectors = features.to_vector(rows, "embedding").select(
         "vec_id", F.col("label").cast("string").alias("label"), "features"
     )

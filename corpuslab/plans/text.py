@@ -66,7 +66,7 @@ def remove_stop_words(spark, sf_dir):
     cut = tokens.tokenize(_texts(spark, sf_dir), "text")
     kept = tokens.remove_stop_words(cut, "tokens", STOP_WORDS)
     return (
-        kept.select("doc_id", F.explode("kept").alias("term"))
+        tokens.elements(kept, "kept", ["doc_id"])
         .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -64,14 +64,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_INPUT_SPLITS = 64
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread an input that has fewer splits than the session has cores.
+    """Hash-spread a small input that has fewer splits than the session has cores.
 
-    A table of normal size has far more splits than cores and passes
-    unchanged; only small files, which one task would read, are shuffled.
+    A single small file would be read by one task. A table of normal size has
+    far more splits and passes unchanged, so its rows do not move.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, SMALL_INPUT_SPLITS):
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
 
