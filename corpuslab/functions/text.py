@@ -95,7 +95,7 @@ _WHITESPACE = " \t\n\x0b\f\r"
 def _removed_whole() -> str:
     """Pattern of text that accent removal leaves empty."""
     points = [p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))]
-    return f"^[{_as_ranges(points)}]*$"
+    return f"\\A[{_as_ranges(points)}]*\\z"
 
 
 def has_content(column: Column) -> Column:

@@ -38,12 +38,12 @@ def lookup_join(
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = [r[0] for r in table.where(F.col(weight) * salts >= F.lit(total)).select(key).collect()]
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts))
-    salted_rows = rows.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0).cast("bigint")))
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    salted_rows = rows.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     salted_table = table.withColumn(
         "_salt",
         F.explode(
             F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).cast("bigint"),
+        ),
     )
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
