@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -75,6 +76,26 @@ def update(assigned: DataFrame, vector: str) -> DataFrame:
     ).withColumn("slot", F.col("slot").cast("bigint"))
 
 
+def fit_from_centres(df: DataFrame, vector: str, centres: Sequence[Sequence[float]],
+                     max_iter: int = ITERATIONS, tol: float = TOLERANCE) -> list[list[float]]:
+    """Centres after up to ``max_iter`` rounds of assignment and update from given ones.
+
+    For a repeatable start; ``fit_kmeans`` draws its own. A centre that attracts
+    no rows stays where it is. Only the ``k`` centres pass through the driver.
+    """
+    current = [list(map(float, c)) for c in centres]
+    with persisted(df.select(vector)) as rows:
+        for _ in range(max_iter):
+            moved = [list(c) for c in current]
+            for r in update(assign(rows, vector, current), vector).collect():
+                moved[r["cluster"]][r["slot"]] = r["value"]
+            shift = max(math.dist(a, b) for a, b in zip(current, moved))
+            current = moved
+            if shift <= tol:
+                break
+    return current
+
+
 def sum_of_distances(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum(F.sqrt("distance_sq")).alias("sum_distance"))
 

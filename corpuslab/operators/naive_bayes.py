@@ -108,6 +108,7 @@ def fit_naive_bayes(
     All per-term numbers come from one aggregation by term with partial counts
     in each task, so a very frequent term costs one row per task.
     """
+    df = df.where(F.col(label).isNotNull())
     # One row per class and part; the order is that of a string index.
     sizes = df.groupBy(F.col(label).alias("label"), train.alias("is_train")).agg(
         F.count(F.lit(1)).alias("n")

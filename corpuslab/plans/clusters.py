@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.operators import clustering, features, profiling
-from corpuslab.operators.clustering import CLUSTERS
+from corpuslab.operators.clustering import CLUSTERS, ITERATIONS
 from corpuslab.plans import fragments as sql
 from corpuslab.plans.registry import query
 from corpuslab.sources.tables import load_table
@@ -21,16 +21,36 @@ def _assigned(spark, sf_dir):
     return clustering.assign(rows, "embedding", centres)
 
 
-_ASSIGN = (
-    f"WITH k AS (SELECT *, row_number() OVER (ORDER BY {sql.unit('vec_id')}, vec_id) - 1 AS cluster "
-    f"FROM embeddings ORDER BY {sql.unit('vec_id')}, vec_id LIMIT {CLUSTERS}), "
-    "d AS (SELECT e.vec_id, e.embedding, k.cluster, list_sum("
-    "[power(e.embedding[i]::DOUBLE-k.embedding[i]::DOUBLE, 2) for i in range(1, len(e.embedding)+1)]) AS distance_sq FROM embeddings e, k), "
-    "a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance_sq, cluster) AS r "
-    "FROM d) WHERE r = 1) "
+_START = (
+    f"SELECT row_number() OVER (ORDER BY {sql.unit('vec_id')}, vec_id) - 1 AS cluster, embedding::DOUBLE[] AS c "
+    f"FROM embeddings ORDER BY {sql.unit('vec_id')}, vec_id LIMIT {CLUSTERS}"
 )
 
 
+def _nearest_sql(centres: str) -> str:
+    distance = "list_sum([power(e.embedding[i]::DOUBLE-k.c[i], 2) for i in range(1, len(e.embedding)+1)])"
+    return (
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance_sq, cluster) AS r "
+        f"FROM (SELECT e.vec_id, e.embedding, k.cluster, {distance} AS distance_sq "
+        f"FROM embeddings e, {centres} k)) WHERE r = 1"
+    )
+
+
+def _moved_sql(assigned: str, centres: str) -> str:
+    return (
+        f"SELECT k.cluster, coalesce(m.c, k.c) AS c FROM {centres} k LEFT JOIN (SELECT cluster, list(v ORDER BY slot) AS c "
+        "FROM (SELECT cluster, slot, avg(v) AS v FROM (SELECT cluster, generate_subscripts(embedding,1) AS slot, "
+        f"unnest(embedding)::DOUBLE AS v FROM {assigned}) GROUP BY cluster, slot) GROUP BY cluster) m USING (cluster)"
+    )
+
+
+_ASSIGN = f"WITH k0 AS ({_START}), a AS ({_nearest_sql('k0')}) "
+_ROUNDS = ", ".join(
+    f"a{i} AS ({_nearest_sql(f'k{i}')}), k{i + 1} AS ({_moved_sql(f'a{i}', f'k{i}')})" for i in range(ITERATIONS)
+)
+_FITTED = f"WITH k0 AS ({_START}), {_ROUNDS}, a AS ({_nearest_sql(f'k{ITERATIONS}')}) "
+
+
 @query("kmeans_assign", _ASSIGN + "SELECT vec_id, cluster, round(distance_sq,6) AS distance_sq FROM a")
 def kmeans_assign(spark, sf_dir):
     return _assigned(spark, sf_dir).select(
@@ -66,6 +86,18 @@ def _fitted(spark, sf_dir):
     return rows, clustering.fit_kmeans(rows, "features")
 
 
+@query("kmeans_fit_from_hash_start",
+       _FITTED + "SELECT vec_id, cluster, round(distance_sq,6) AS distance_sq FROM a")
+def kmeans_fit_from_hash_start(spark, sf_dir):
+    """All rounds of a fit whose first centres are drawn by hash."""
+    rows = _embeddings(spark, sf_dir)
+    start = clustering.random_centres(rows, "vec_id", "embedding", CLUSTERS)
+    centres = clustering.fit_from_centres(rows, "embedding", start, ITERATIONS, tol=0.0)
+    return clustering.assign(rows, "embedding", centres).select(
+        "vec_id", "cluster", F.round("distance_sq", 6).alias("distance_sq")
+    )
+
+
 @query("kmeans_fit")
 def kmeans_fit(spark, sf_dir):
     """Cluster sizes of the best of two fits."""

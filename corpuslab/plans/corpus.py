@@ -176,6 +176,14 @@ def random_split(spark, sf_dir):
     return numbered[0].unionByName(numbered[1])
 
 
+@query("random_split_cover", "SELECT doc_id, lang, 1::BIGINT AS n_parts FROM documents")
+def random_split_cover(spark, sf_dir):
+    """Each row is in exactly one part, whichever it is."""
+    docs = load_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    first, second = sampling.random_split(docs, UNEVEN_WEIGHTS, SEED)
+    return first.unionByName(second).groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("n_parts"))
+
+
 @query(
     "hash_split",
     f"SELECT doc_id, CASE WHEN {sql.unit('doc_id', SEED)} < 0.7 THEN 0 ELSE 1 END::BIGINT AS split "

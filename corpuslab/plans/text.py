@@ -93,6 +93,14 @@ def hashing_tf(spark, sf_dir):
     return tokens.vector_totals(tokens.hashed_vectors(cut, "tokens", TEXT_FEATURES), "tf")
 
 
+@query("hashing_tf_mass", f"SELECT count(*)::DOUBLE AS total FROM ({_EXPLODED})")
+def hashing_tf_mass(spark, sf_dir):
+    """Hashing moves tokens between buckets but loses none."""
+    cut = tokens.tokenize(_texts(spark, sf_dir), "text")
+    slots = tokens.vector_totals(tokens.hashed_vectors(cut, "tokens", TEXT_FEATURES), "tf")
+    return slots.agg(F.sum("total").alias("total"))
+
+
 @query(
     "hashed_term_counts",
     f"SELECT doc_id, {sql.bucket('term', TEXT_FEATURES)} AS bucket, count(*) AS tf FROM ({_EXPLODED}) "

@@ -127,6 +127,22 @@ def test_update_is_the_mean_of_each_cluster(points):
         assert r.n == len(values) and r.value == pytest.approx(sum(values) / len(values))
 
 
+def test_rounds_from_given_centres(points):
+    rows = {r.id: r.v for r in points.collect()}
+    centres = [[0.0, 0.0], [1.0, 1.0], [500.0, 500.0]]
+    expected = [list(c) for c in centres]
+    for _ in range(4):
+        groups = {}
+        for v in rows.values():
+            d = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in expected]
+            groups.setdefault(d.index(min(d)), []).append(v)
+        for k, vs in groups.items():
+            expected[k] = [sum(x) / len(vs) for x in zip(*vs)]
+    got = clustering.fit_from_centres(points, "v", centres, max_iter=4, tol=0.0)
+    assert [pytest.approx(c) for c in expected] == got
+    assert got[2] == [500.0, 500.0]
+
+
 def test_fitted_centres_cost(points):
     vectors = features.to_vector(points, "v")
     model = clustering.fit_kmeans(vectors, "features", k=3, max_iter=10)
