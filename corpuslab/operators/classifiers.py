@@ -45,11 +45,15 @@ def counted_text_stages(text: str, vocabulary: int = VOCABULARY_CAP, output: str
     return stages + [IDF(inputCol="tf", outputCol=output)] if weighted else stages
 
 
-def text_features(fit_on: DataFrame, parts: Sequence[DataFrame], text: str, keep: Sequence[str],
-                  num_features: int = TEXT_FEATURES) -> list[DataFrame]:
-    """Hashed TF-IDF vectors of the parts, weights fitted on ``fit_on``, stored once."""
+def text_features(fit_on: DataFrame, df: DataFrame, text: str, keep: Sequence[str],
+                  num_features: int = TEXT_FEATURES) -> DataFrame:
+    """Hashed TF-IDF vectors of ``df``, weights fitted on ``fit_on``.
+
+    The vectors are stored, because fits read them many times. Keep the split
+    column and filter on it afterwards: text is then read once for all parts.
+    """
     model = Pipeline(stages=hashed_text_stages(text, num_features)).fit(fit_on)
-    return [materialize(model.transform(p).select(*keep, "features"), "features") for p in parts]
+    return materialize(model.transform(df).select(*keep, "features"), "features")
 
 
 def naive_bayes(smoothing: float = 1.0) -> Estimator:

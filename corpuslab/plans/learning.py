@@ -132,12 +132,15 @@ def nb_hashed_ml_predict(spark, sf_dir):
 def text_vectors(spark, sf_dir, num_features=TREE_FEATURES):
     """Hashed TF-IDF vectors of all documents."""
     docs = clean_documents(spark, sf_dir)
-    return classifiers.text_features(docs, [docs], "text", ["doc_id", "lang"], num_features)[0]
+    return classifiers.text_features(docs, docs, "text", ["doc_id", "lang"], num_features)
 
 
 def _text_parts(spark, sf_dir, num_features=TREE_FEATURES):
-    train, test = _train_test(_split_documents(spark, sf_dir))
-    return classifiers.text_features(train, [train, test], "text", ["doc_id", "lang"], num_features)
+    docs = _split_documents(spark, sf_dir)
+    train, _ = _train_test(docs)
+    return _train_test(
+        classifiers.text_features(train, docs, "text", ["doc_id", "lang", "split"], num_features)
+    )
 
 
 def _embedding_parts(spark, sf_dir):

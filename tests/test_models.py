@@ -195,6 +195,6 @@ def test_string_index_and_back(spark):
 
 def test_hashed_pipeline_width(docs):
     train = docs.where("train")
-    parts = classifiers.text_features(train, [train], "text", ["id"], 32)
-    assert parts[0].first().features.size == 32
+    vectors = classifiers.text_features(train, docs, "text", ["id", "train"], 32)
+    assert vectors.first().features.size == 32 and vectors.count() == len(DOCS)
     assert HashingTF(numFeatures=32).getNumFeatures() == 32
