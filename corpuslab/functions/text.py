@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -14,7 +15,6 @@ from pyspark.sql.types import StringType
 # Fixed value: the markup pattern (shortest span, not across newlines).
 TAG_PATTERN = "<.*?>"
 
-
 # Visible ASCII but "<": cleaning keeps such a character, so text that starts with one has content.
 _PLAIN_START = "^[!-;=-~]"
 
@@ -28,8 +28,30 @@ def is_blank(column: Column) -> Column:
     return column == F.lit("")
 
 
-def _without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+def _spans(points) -> list[tuple[int, int]]:
+    """Runs of neighbouring code points."""
+    spans: list[list[int]] = []
+    for p in points:
+        if spans and p == spans[-1][1] + 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return [tuple(s) for s in spans]
+
+
+def _java_class(points) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _spans(points))
+
+
+@cache
+def _combining_points() -> list[int]:
+    return [p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))]
+
+
+@cache
+def _combining_pattern() -> str:
+    """Pattern of combining characters for Python's ``re``."""
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _spans(_combining_points())) + "]"
 
 
 # Code points that Catalyst's translate() can handle alone: Latin letters,
@@ -43,32 +65,42 @@ _LATIN_BLOCKS = (
     range(0x2010, 0x2030),  # dashes, quotes, bullets
     range(0x20A0, 0x20C1),  # currency signs
 )
-_MAPPED = {chr(p): _without_accents(chr(p)) for block in _LATIN_BLOCKS for p in block}
-_DIRECT = {c: m for c, m in _MAPPED.items() if len(m) <= 1}
-# translate() deletes the characters that have no counterpart, so they go last.
-_REPLACED = [c for c, m in _DIRECT.items() if len(m) == 1 and m != c]
-_REMOVED = [c for c, m in _DIRECT.items() if not m]
-_FROM = "".join(_REPLACED + _REMOVED)
-_TO = "".join(_DIRECT[c] for c in _REPLACED)
 
 
-def _as_ranges(points: list[int]) -> str:
-    spans: list[list[int]] = []
-    for p in points:
-        if spans and p == spans[-1][1] + 1:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+@cache
+def _direct_mapping() -> dict[str, str]:
+    mapped = {
+        chr(p): re.sub(_combining_pattern(), "", unicodedata.normalize("NFKD", chr(p)))
+        for block in _LATIN_BLOCKS for p in block
+    }
+    return {c: m for c, m in mapped.items() if len(m) <= 1}
 
 
-_ASCII_RUN = "[\\x00-\\x7F]+"
-_NOT_DIRECT = f"[^{_as_ranges(sorted(map(ord, _DIRECT)))}]"
+@cache
+def _translation() -> tuple[str, str]:
+    """Arguments of translate(), which deletes characters that have no counterpart."""
+    mapping = _direct_mapping()
+    replaced = [c for c, m in mapping.items() if len(m) == 1 and m != c]
+    removed = [c for c, m in mapping.items() if not m]
+    return "".join(replaced + removed), "".join(mapping[c] for c in replaced)
 
 
-@F.pandas_udf(StringType())
-def _nfkd_without_accents(texts: pd.Series) -> pd.Series:
-    return texts.map(_without_accents, na_action="ignore")
+def _decompose():
+    """The Arrow function for rare characters.
+
+    It is defined in here so that it travels to the executors whole; they need
+    not have this package installed.
+    """
+    combining = _combining_pattern()
+
+    @F.pandas_udf(StringType())
+    def decomposed(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKD").str.replace(combining, "", regex=True)
+
+    return decomposed
+
+
+_ASCII_RUN = "[\\x00-\\x7F]+"
 
 
 def remove_accents(column: Column) -> Column:
@@ -81,23 +113,13 @@ def remove_accents(column: Column) -> Column:
     because a class of many ranges is slow on long text.
     """
     is_ascii = F.length(column) == F.octet_length(column)
-    has_rare = F.regexp_replace(column, _ASCII_RUN, "").rlike(_NOT_DIRECT)
-    rare = _nfkd_without_accents(F.when(~is_ascii & has_rare, column))
-    common = F.when(is_ascii, column).otherwise(F.translate(column, _FROM, _TO))
+    not_direct = f"[^{_java_class(sorted(map(ord, _direct_mapping())))}]"
+    has_rare = F.regexp_replace(column, _ASCII_RUN, "").rlike(not_direct)
+    rare = _decompose()(F.when(~is_ascii & has_rare, column))
+    common = F.when(is_ascii, column).otherwise(F.translate(column, *_translation()))
     return F.coalesce(rare, common)
 
 
-# Fixed value: the whitespace characters of Java's \\s.
-_WHITESPACE = " \t\n\x0b\f\r"
-
-
-@cache
-def _removed_whole() -> str:
-    """Pattern of text that accent removal leaves empty."""
-    points = [p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))]
-    return f"\\A[{_as_ranges(points)}]*\\z"
-
-
 def has_content(column: Column) -> Column:
     """Whether trimmed text still holds a character once tags and accents are gone.
 
@@ -106,10 +128,14 @@ def has_content(column: Column) -> Column:
     """
     trimmed = F.trim(column)
     return F.when(trimmed.rlike(_PLAIN_START), True).otherwise(
-        ~strip_tags(trimmed).rlike(_removed_whole())
+        ~strip_tags(trimmed).rlike(f"\\A[{_java_class(_combining_points())}]*\\z")
     )
 
 
+# Fixed value: the whitespace characters of Java's \\s.
+_WHITESPACE = " \t\n\x0b\f\r"
+
+
 def whitespace_tokens(column: Column) -> Column:
     """Lower-cased text cut at each whitespace character, as ``ml.feature.Tokenizer`` does.
 
