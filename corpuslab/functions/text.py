@@ -132,7 +132,7 @@ def has_content(column: Column) -> Column:
     )
 
 
-# Fixed value: the whitespace characters of Java's \\s.
+# Fixed value: the whitespace characters of Java's \s.
 _WHITESPACE = " \t\n\x0b\f\r"
 
 

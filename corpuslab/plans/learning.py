@@ -15,6 +15,7 @@ from corpuslab.sources.tables import load_table
 
 HIDDEN_LAYERS = [16]
 TREE_FEATURES = 1000
+# Most categories per vector slot in each forest.
 CATEGORY_LIMITS = {"random_forest": 29, "entropy_forest": 5}
 
 
