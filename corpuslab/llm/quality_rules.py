@@ -29,7 +29,7 @@ STOP_WORDS = (
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VOTES = ["_v_length", "_v_word_length", "_v_symbols", "_v_lines", "_v_repeats", "_v_stop_words",
-         "_v_capitals", "_v_marks"]
+         "_v_capitals", "_v_marks", "_v_bare"]
 
 
 def _alias(name: str) -> str:
@@ -54,7 +54,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias(_alias("lines")),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(body, F.lit("[A-Z]")).alias(_alias("capitals")),
-        F.regexp_count(body, F.lit("[!?]{2}")).alias(_alias("marks")),
+        F.regexp_count(body, F.lit("[!?#*$%&|<>]{2}")).alias(_alias("marks")),
+        F.regexp_count(body, F.lit(r"\x20[#*$%&|<>=~_-]+(?=[\x20\n])")).alias(_alias("bare")),
     )
     words, lines = F.col(_alias("words")), F.col(_alias("lines"))
     n = F.size(words)
@@ -108,10 +109,10 @@ def _votes() -> list[Column]:
     lines = F.col(_alias("n_lines"))
     dup = F.col("n_dup_lines") / F.greatest(lines, F.lit(1))
     stops, capitals = F.col(_alias("stops")) / n, F.col(_alias("capitals")) / F.greatest(F.col("word_chars"), F.lit(1))
-    marks = F.col(_alias("marks")) / n
+    marks, bare = F.col(_alias("marks")) / n, F.col(_alias("bare")) / n
     enough = F.col("n_words") >= LEAST_WORDS
     columns = [
-        _vote(F.col("n_words") < LEAST_WORDS, F.col("n_words") >= 2 * LEAST_WORDS),
+        _vote(F.lit(False), F.col("n_words") >= 2 * LEAST_WORDS),  # too short: a base rule
         _vote((mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 10)),
         _vote(symbols > 0.2, symbols < 0.02),
         _vote(dup > 0.3, (dup == 0) & (lines >= 3)),
@@ -119,6 +120,7 @@ def _votes() -> list[Column]:
         _vote(enough & (stops < 0.01), stops > 0.08),
         _vote(enough & (capitals > 0.4), enough & (capitals < 0.1)),
         _vote(enough & (marks > 0.15), enough & (marks < 0.02)),
+        _vote(enough & (bare > 0.1), enough & (bare < 0.02)),
     ]
     return [c.alias(name) for c, name in zip(columns, VOTES)]
 

@@ -55,14 +55,14 @@ def pattern_counts(votes: DataFrame, names: Sequence[str]) -> DataFrame:
 def fit_reliability(votes: DataFrame, names: Sequence[str], prior: float = 0.8) -> Reliability:
     """Estimate class prior and rule accuracies from agreement alone.
 
-    Starts from the majority of votes: a rule that often contradicts the others ends with
-    little weight. ``PSEUDO_ROWS`` rows per class that agree with the rule keep all
+    Starts from the number of bad votes, which rules of this kind cast seldom and with
+    cause; a rule that often contradicts the others ends with little weight. ``PSEUDO_ROWS`` rows per class that agree with the rule keep all
     chances above zero, and give an empty table defined values.
     """
     patterns = materialize(pattern_counts(votes, names), "vote-patterns")
     columns = [F.col(n) for n in names]
-    total_vote = sum((c for c in columns[1:]), columns[0])
-    good = F.when(total_vote > 0, 0.95).when(total_vote < 0, 0.05).otherwise(prior)
+    bad_votes = sum((F.when(c < 0, 1).otherwise(0) for c in columns), F.lit(0))
+    good = F.when(bad_votes == 0, 0.95).when(bad_votes == 1, 0.4).otherwise(0.05)
     before = None
     for _ in range(ROUNDS):
         sums = [F.sum(F.col("_rows")).alias("n"), F.sum(F.col("_rows") * good).alias("g")]
