@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import quality_rules
+from corpuslab.llm import decontamination, order_minhash, quality_rules
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
 from corpuslab.session import materialize
 
@@ -17,3 +17,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     voted = materialize(quality_rules.features(docs).drop("text"), "quality-votes")
     judged = quality_rules.judge(voted, quality_rules.fit(voted))
     return judged.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept", "posterior")
+
+
+@query("op3_order_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class of exact and near copies, and the number of its links."""
+    return order_minhash.classes(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that share an aligned passage."""
+    docs = documents(spark, sf_dir)
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = decontamination.overlaps(docs, items)
+    ids = docs.select("doc_id", decontamination.text_key("text").alias("key"))
+    item_ids = items.select("item_id", decontamination.text_key("text").alias("item"))
+    return found.join(ids, "key").join(item_ids, "item").select(
+        "doc_id", "item_id", "n_equal", "n_span", "first_word")
