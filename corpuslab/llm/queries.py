@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, order_minhash, quality_rules
+from corpuslab.llm import decontamination, order_minhash, quality_rules, secrets
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
 from corpuslab.session import materialize
 
@@ -36,3 +36,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     item_ids = items.select("item_id", decontamination.text_key("text").alias("item"))
     return found.join(ids, "key").join(item_ids, "item").select(
         "doc_id", "item_id", "n_equal", "n_span", "first_word")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, as counts of the base kinds and digests of the spans."""
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    spans, kinds = F.col("spans"), [r[0] for r in secrets.BASE_RULES]
+    return found.select(
+        "doc_id", *[secrets.count_of(spans, k) for k in kinds],
+        secrets.base_digest(spans, kinds).alias("base_sha256"), secrets.listed(spans).alias("spans"))
