@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontamination, order_minhash, quality_rules, secrets
+from corpuslab.llm import (
+    decontamination, licenses, order_minhash, personal_data, quality_rules, secrets,
+)
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
 from corpuslab.session import materialize
 
@@ -46,3 +48,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[secrets.count_of(spans, k) for k in kinds],
         secrets.base_digest(spans, kinds).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates found in each document."""
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document, as counts of the base kinds and digests of the spans."""
+    found = personal_data.find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["is_base"])
+    counts = [secrets.count_of(base, k) for k in personal_data.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))

@@ -47,19 +47,21 @@ class Reliability:
         return right / (right + self.prior * low_g + (1 - self.prior) * high_b)
 
 
-def pattern_counts(votes: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows per combination of votes."""
-    return votes.groupBy(*names).agg(F.count("*").cast("double").alias("_rows"))
+def pattern_counts(votes: DataFrame, names: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``weight``) per combination of votes."""
+    rows = F.count("*") if weight is None else F.sum(weight)
+    return votes.groupBy(*names).agg(rows.cast("double").alias("_rows"))
 
 
-def fit_reliability(votes: DataFrame, names: Sequence[str], prior: float = 0.8) -> Reliability:
+def fit_reliability(votes: DataFrame, names: Sequence[str], prior: float = 0.8,
+                    weight: str | None = None) -> Reliability:
     """Estimate class prior and rule accuracies from agreement alone.
 
     Starts from the number of bad votes, which rules of this kind cast seldom and with
     cause; a rule that often contradicts the others ends with little weight. ``PSEUDO_ROWS`` rows per class that agree with the rule keep all
     chances above zero, and give an empty table defined values.
     """
-    patterns = materialize(pattern_counts(votes, names), "vote-patterns")
+    patterns = materialize(pattern_counts(votes, names, weight), "vote-patterns")
     columns = [F.col(n) for n in names]
     bad_votes = sum((F.when(c < 0, 1).otherwise(0) for c in columns), F.lit(0))
     good = F.when(bad_votes == 0, 0.95).when(bad_votes == 1, 0.4).otherwise(0.05)
