@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
-    decontamination, licenses, order_minhash, personal_data, quality_rules, secrets,
+    decontamination, licenses, order_minhash, personal_data, quality_rules, secrets, token_files,
 )
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
 from corpuslab.session import materialize
@@ -64,3 +64,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [secrets.count_of(base, k) for k in personal_data.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"))
+
+
+END_ID = 2
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_token_files")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in binary files, as digests of the files read back."""
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file(), END_ID)
