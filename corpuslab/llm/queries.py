@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
-    decontamination, licenses, order_minhash, personal_data, quality_rules, secrets, token_files,
+    decontamination, licenses, order_minhash, personal_data, ppm, quality_rules, secrets,
+    token_files,
 )
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
 from corpuslab.session import materialize
@@ -79,3 +80,9 @@ def tokenizer_file() -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in binary files, as digests of the files read back."""
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_file(), END_ID)
+
+
+@query("op2_ppm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word-frequency scores of all documents."""
+    return ppm.score(documents(spark, sf_dir))
