@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
-    decontamination, licenses, order_minhash, personal_data, ppm, quality_rules, secrets,
+    decontamination, licenses, mixing, order_minhash, personal_data, ppm, quality_rules, secrets,
     token_files,
 )
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
@@ -86,3 +86,45 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and word-frequency scores of all documents."""
     return ppm.score(documents(spark, sf_dir))
+
+
+SQL_MIX = r"""
+WITH rows_ AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)) AS key
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM rows_ GROUP BY source),
+limits AS (
+  SELECT *, CAST(rank % 3 + 1 AS BIGINT) AS weight, 3 * source_size AS limit_ FROM sources),
+levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(limit_) OVER w, 0) AS DOUBLE)
+            / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
+  FROM limits
+  WINDOW w AS (ORDER BY limit_ / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+common AS (
+  SELECT arg_min(level, (limit_ / weight, rank)) AS level FROM levels WHERE level * weight < limit_),
+targets AS (
+  SELECT source, source_size,
+         coalesce(least((SELECT level FROM common) * weight, CAST(limit_ AS DOUBLE)), CAST(limit_ AS DOUBLE)) AS target
+  FROM levels),
+streams AS (
+  SELECT doc_id, source, size,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + size / 2 AS middle
+  FROM rows_)
+SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, t.source_size, t.target,
+       CAST(CASE WHEN s.size = 0 THEN 0
+                 ELSE greatest(0, least(3, ceil((t.target - s.middle) / t.source_size))) * s.size END AS BIGINT) AS taken
+FROM streams s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query("op6_curriculum_mix", SQL_MIX)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, with its source's size and target."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    sizes = materialize(mixing.sized(docs).drop("text"), "mix-sizes")
+    return mixing.planned(sizes).select("doc_id", "size", "source_size", "target", "taken")
