@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
-    decontamination, licenses, mixing, order_minhash, personal_data, ppm, quality_rules, secrets,
+    cotraining, decontamination, licenses, mixing, order_minhash, personal_data, ppm, quality_rules, secrets,
     token_files,
 )
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
@@ -128,3 +128,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     sizes = materialize(mixing.sized(docs).drop("text"), "mix-sizes")
     return mixing.planned(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_cotraining")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents from two co-trained views."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return cotraining.score(docs, cotraining.fit(docs, labels))
