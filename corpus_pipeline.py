@@ -1,4 +1,66 @@
-"""Corpus pipeline: quality rules, near-duplicates, decontamination, mix, token files."""
+"""Corpus pipeline: quality rules, near-duplicates, decontamination, mix, token files.
 
-STAGES = []
-QUERY = {}
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but
+the last return the columns of documents. Results between stages are stored in the shared
+folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.llm import decontamination, mixing, order_minhash, quality_rules, token_files
+from corpuslab.llm.queries import END_ID, tokenizer_file
+from corpuslab.session import materialize
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are more likely good than not."""
+    voted = materialize(quality_rules.features(docs), "pipeline-votes")
+    judged = quality_rules.judge(voted, quality_rules.fit(voted))
+    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return order_minhash.deduplicated(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return mixing.mix(docs)
+
+
+def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, as digests of what is read back."""
+    return token_files.round_trip(docs, tokenizer_file(), END_ID)
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", keep_clean),
+    ("mix", mix_sources),
+    ("token files", to_token_files),
+]
+
+# Weighed votes, sketches and tokens have no SQL; the tests use brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-stage-{k + 1}")
+    return docs
+
+
+QUERY = {"pipeline": (run, ORACLE_SQL)}
