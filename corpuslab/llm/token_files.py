@@ -30,7 +30,7 @@ MAGIC = b"PFR1"
 BLOCK = 256
 FITTING = 0.9
 IMAGE_IDS = 1 << 20  # ids after which a new image begins; documents stay whole
-_HEADER = struct.Struct("<4sIQI")
+_HEADER = "<4sIQI"
 
 KNOWN_PIECES = 1_000_000
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -180,16 +180,16 @@ def write_image(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         body[place + order] = spot
         wide = high[where, spot].astype("<u4").view(np.uint8).reshape(-1, 4)
         body[(place + n_patched[where] + 4 * order)[:, None] + np.arange(4)] = wide
-    return b"".join([_HEADER.pack(MAGIC, len(lengths), len(ids), n_blocks), lengths.astype("<u4").tobytes(),
+    return b"".join([struct.pack(_HEADER, MAGIC, len(lengths), len(ids), n_blocks), lengths.astype("<u4").tobytes(),
                      start.astype("<u8").tobytes(), body.tobytes()])
 
 
 def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of a file image."""
-    magic, n_docs, n_ids, n_blocks = _HEADER.unpack_from(image)
+    magic, n_docs, n_ids, n_blocks = struct.unpack_from(_HEADER, image)
     if magic != MAGIC:
         raise ValueError("not a token file image")
-    at = _HEADER.size
+    at = struct.calcsize(_HEADER)
     lengths = np.frombuffer(image, "<u4", n_docs, at)
     at += 4 * n_docs
     start = np.frombuffer(image, "<u8", n_blocks + 1, at).astype(np.int64)
