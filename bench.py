@@ -12,10 +12,11 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from corpuslab.plans import QUERIES
-from corpuslab.session import local_session
+from corpuslab.session import local_session, scratch_scope
 
 HEADLINE = [
     # sources and sinks
@@ -42,8 +43,9 @@ HEADLINE = [
 
 def run(spark, plan, sf_dir: str) -> float:
     start = time.perf_counter()
-    plan(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with scratch_scope(spark):
+        plan(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:
@@ -51,7 +53,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     chosen = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = local_session("bench", cores)
+    spark = local_session("bench", cores, scratch=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in chosen:

@@ -1,8 +1,7 @@
-"""Session helpers: shared scratch space, durable intermediate tables, input spread."""
+"""Session helpers: shared scratch space, stored intermediate tables, scopes that clear them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -11,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Number of tasks that small input tables are dealt over; unset: as Spark reads them.
+INPUT_SETTING = "corpuslab.input.partitions"
 
 
-def local_session(app_name: str, cores: str | int = "*", **settings: str) -> SparkSession:
-    """Session for tests and benchmarks; on a cluster the caller brings its own."""
+def local_session(app_name: str, cores: str | int = "*", scratch: str | None = None, **settings: str) -> SparkSession:
+    """Session for tests and benchmarks; on a cluster the caller brings its own.
+
+    ``scratch`` is the folder for stored tables; all tables are dealt over eight tasks, as
+    the test tables are single files.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -23,33 +28,47 @@ def local_session(app_name: str, cores: str | int = "*", **settings: str) -> Spa
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(INPUT_SETTING, "8")
     )
+    if scratch:
+        builder = builder.config(CHECKPOINT_SETTING, scratch)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, for checkpoints and intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, since executors of a cluster would each
-    see a different one.
-    """
+    """Folder that every executor can reach, as named in ``spark.checkpoint.dir``."""
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="corpuslab-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return configured
+
+
+_OPEN_SCOPES: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove, on leaving, all that was stored inside; use the results before that."""
+    paths: list[str] = []
+    _OPEN_SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN_SCOPES.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            place = hadoop(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -64,19 +83,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT_SPLITS = 64
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a small input that has fewer splits than the session has cores.
-
-    A single small file would be read by one task. A table of normal size has
-    far more splits and passes unchanged, so its rows do not move.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, SMALL_INPUT_SPLITS):
-        return df
-    return df.repartition(cores, *[F.col(k) for k in keys])
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal an input table by hash over as many tasks as the session names, if it names any."""
+    parts = df.sparkSession.conf.get(INPUT_SETTING, None)
+    return df.repartition(int(parts), *[F.col(k) for k in keys]) if parts else df
 
 
 @contextmanager

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.session import spread
+from corpuslab.session import dealt
+
 
 def load_table(
     spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
     spread_by: str | None = None,
 ) -> DataFrame:
-    """One table, pruned to ``columns``; ``spread_by`` evens out a single small file."""
+    """One table, pruned to ``columns``; ``spread_by`` deals it out where the session asks for that."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return spread(df, spread_by) if spread_by else df
+    return dealt(df, spread_by) if spread_by else df
 
 
 def first_line(column: str):

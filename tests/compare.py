@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -71,7 +72,7 @@ def main() -> int:
     from corpuslab.session import local_session
 
     sf_dir, chosen = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark = local_session("compare", 8)
+    spark = local_session("compare", 8, scratch=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     connection = oracle(sf_dir)
     failed = 0
