@@ -92,8 +92,9 @@ def in_tier(df: DataFrame, class_column: str, id_column: str, tier: int,
             tier_sizes: Sequence[int] = TIER_SIZES) -> DataFrame:
     """Rows whose class belongs to the tier."""
     tiers = materialize(class_size_tiers(df, class_column, tier_sizes), "class-tiers")
-    chosen = tiers.where(F.col("tier") == tier).select(class_column, "n")
-    return lookup_join(df, chosen, class_column, "n", id_column, "inner").drop("n")
+    chosen = tiers.where(F.col("tier") == tier).select(class_column, F.col("n").alias("__weight"))
+    joined = lookup_join(df, chosen, class_column, "__weight", id_column, "inner")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def exclude_classes(df: DataFrame, class_column: str, classes: Sequence[str]) -> DataFrame:
@@ -104,8 +105,10 @@ def exclude_classes(df: DataFrame, class_column: str, classes: Sequence[str]) ->
 def with_class_index(df: DataFrame, class_column: str, id_column: str) -> DataFrame:
     """Adds ``class_index``: 0 for the most frequent class, ties by name."""
     table = materialize(class_table(df, class_column), "class-index")
-    chosen = table.select(class_column, "n", "class_index")
-    return lookup_join(df, chosen, class_column, "n", id_column, "inner").drop("n")
+    chosen = table.select(class_column, F.col("n").alias("__weight"), F.col("class_index").alias("__index"))
+    joined = lookup_join(df, chosen, class_column, "__weight", id_column, "inner")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "class_index"]
+    return joined.select(*kept, F.col("__index").alias("class_index"))
 
 
 def index_counts(df: DataFrame, class_column: str) -> DataFrame:

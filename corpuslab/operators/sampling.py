@@ -51,9 +51,9 @@ def share_sample(df: DataFrame, id_column: str, class_column: str, seed: int | N
     the corpus.
     """
     shares = materialize(class_table(df, class_column), "class-shares")
-    chosen = shares.select(class_column, "n", F.col("share").alias("_share"))
-    joined = lookup_join(df, chosen, class_column, "n", id_column, "inner")
-    return joined.where(hash_unit(F.col(id_column), seed) < F.col("_share")).drop("n", "_share")
+    chosen = shares.select(class_column, F.col("n").alias("__weight"), F.col("share").alias("__share"))
+    joined = lookup_join(df, chosen, class_column, "__weight", id_column, "inner")
+    return joined.where(hash_unit(F.col(id_column), seed) < F.col("__share")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def hash_split(df: DataFrame, id_column: str, weights: Sequence[float],

@@ -12,56 +12,63 @@ ROWS_PER_TASK = 2_000_000
 
 def moving_average(
     df: DataFrame, key: str, order_by: list[str], value: str, before: int, after: int,
-    bucket: Column, output: str = "moving_avg", rows_per_task: int = ROWS_PER_TASK,
+    output: str = "moving_avg", rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Average of ``value`` from ``before`` rows back to ``after`` rows ahead.
 
-    ``order_by`` must order the rows of a key totally. ``bucket`` is a value
-    that never falls along that order (such as the month of the date); it only
-    guides how the rows of a very frequent key are numbered.
+    ``order_by`` must order the rows of a key totally; nulls come first in it, and a null
+    key is a key like any other. All rows stay.
 
-    A window keeps all rows of a key in one task. Keys with more than
-    ``rows_per_task`` rows are therefore cut into runs of that many neighbours,
-    each with copies of the few rows its frame needs from the runs beside it.
+    A window keeps all rows of a key in one task. Rows of keys with more than
+    ``rows_per_task`` rows are therefore numbered by a range sort and cut into runs of
+    that many neighbours, each with copies of the few rows its frame needs from the runs
+    beside it. The cutting changes no result.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    frequent = materialize(counts.where(F.col("_n") > rows_per_task).select(key), "frequent-keys")
+    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    frequent = materialize(counts.where(F.col("__n") > rows_per_task).select("__key"), "frequent-keys")
     frame = Window.rowsBetween(-before, after)
+    whole = F.avg(value).over(frame.partitionBy(key).orderBy(*order_by))
     if frequent.isEmpty():
-        window = frame.partitionBy(key).orderBy(*order_by)
-        return df.withColumn(output, F.avg(value).over(window))
+        return df.withColumn(output, whole)
 
-    usual = df.join(frequent, key, "left_anti").withColumn(
-        output, F.avg(value).over(frame.partitionBy(key).orderBy(*order_by))
-    )
-    cut = _in_runs(df.join(frequent, key, "left_semi"), key, order_by, bucket, before, after, rows_per_task)
+    is_frequent = F.col(key).eqNullSafe(F.col("__key"))
+    usual = df.join(frequent, is_frequent, "left_anti").withColumn(output, whole)
+    numbered = _numbered(df.join(frequent, is_frequent, "left_semi"), key, order_by)
+    cut = _in_runs(numbered, before, after, rows_per_task)
     averaged = cut.withColumn(
-        output, F.avg(value).over(frame.partitionBy(key, "_run").orderBy("_position"))
+        output, F.avg(value).over(frame.partitionBy(key, "__run").orderBy("__position"))
     )
-    return usual.unionByName(averaged.where("_own").select(*df.columns, output))
+    return usual.unionByName(averaged.where("__own").select(*[F.col(f"`{c}`") for c in df.columns], output))
 
 
-def _in_runs(df: DataFrame, key: str, order_by: list[str], bucket: Column, before: int,
-             after: int, size: int) -> DataFrame:
-    """Rows with their position among the rows of the key, copied to each run that needs them."""
-    size = max(size, before + after)
-    bucketed = df.withColumn("_bucket", bucket)
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(key, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    in_bucket = Window.partitionBy(key, "_bucket").orderBy(*order_by)
+def _numbered(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
+    """Rows with their position among the rows of their key.
+
+    A range sort spreads each key over tasks in order; numbers inside a task and a running
+    sum over the tasks of each key give the position. The sorted rows are stored, so that
+    both steps see the same ones.
+    """
     placed = (
-        bucketed.withColumn("_row", F.row_number().over(in_bucket) - 1)
-        .join(offsets, [key, "_bucket"])
-        .withColumn("_position", F.col("_offset") + F.col("_row"))
-        .drop("_bucket", "_row", "_offset")
+        df.repartitionByRange(key, *order_by).sortWithinPartitions(key, *order_by)
+        .withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
     )
-    home = F.floor(F.col("_position") / size)
-    first = F.floor((F.col("_position") - after) / size)
-    last = F.floor((F.col("_position") + before) / size)
-    return placed.withColumn("_run", F.explode(F.sequence(first, last))).withColumn(
-        "_own", F.col("_run") == home
+    placed = materialize(placed, "range-sorted")
+    earlier = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    parts = parts.withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    # one row per key and task that holds it
+    joined = placed.join(parts, (F.col("__part") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__key")))
+    position: Column = F.col("__offset") + F.col("__at") - F.col("__first")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], position.alias("__position"))
+
+
+def _in_runs(numbered: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Rows copied to each run that needs them; ``__own`` marks the run they belong to."""
+    size = max(size, before + after)
+    home = F.floor(F.col("__position") / size)
+    first = F.floor((F.col("__position") - after) / size)
+    last = F.floor((F.col("__position") + before) / size)
+    return numbered.withColumn("__run", F.explode(F.sequence(first, last))).withColumn(
+        "__own", F.col("__run") == home
     )
