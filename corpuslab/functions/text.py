@@ -48,6 +48,13 @@ def _combining_points() -> list[int]:
     return [p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))]
 
 
+@cache
+def _vanishing_points() -> list[int]:
+    """Code points of which accent removal leaves nothing: all that they decompose to combines."""
+    return [p for p in range(sys.maxunicode + 1)
+            if all(unicodedata.combining(c) for c in unicodedata.normalize("NFKD", chr(p)))]
+
+
 @cache
 def _combining_pattern() -> str:
     """Pattern of combining characters for Python's ``re``."""
@@ -128,7 +135,7 @@ def has_content(column: Column) -> Column:
     """
     trimmed = F.trim(column)
     return F.when(trimmed.rlike(_PLAIN_START), True).otherwise(
-        ~strip_tags(trimmed).rlike(f"\\A[{_java_class(_combining_points())}]*\\z")
+        ~strip_tags(trimmed).rlike(f"\\A[{_java_class(_vanishing_points())}]*\\z")
     )
 
 
@@ -149,8 +156,8 @@ def whitespace_tokens(column: Column) -> Column:
 
 def pattern_tokens(column: Column, pattern: str, gaps: bool = True, min_length: int = 1) -> Column:
     """Lower-cased text cut at, or into, matches of ``pattern``, as ``RegexTokenizer`` does."""
-    if min_length < 1:
-        raise ValueError("min_length must be at least 1")
+    if min_length < 0:
+        raise ValueError("min_length must not be negative")
     lowered = F.lower(column)
     parts = F.split(lowered, pattern) if gaps else F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
     return F.filter(parts, lambda t: F.length(t) >= min_length)
@@ -167,3 +174,28 @@ def joined_ngrams(tokens: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` applied to a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def counted_elements(array: Column) -> Column:
+    """Distinct elements of an array with their number: (term, tf), ordered by term.
+
+    Equal elements lie together once sorted; a run's length is the distance from the end of
+    the run before. Null elements are not expected; a null array gives null.
+    """
+    def run_ends(ordered: Column) -> Column:
+        pairs = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))),
+                           lambda x, after: F.struct(x.alias("term"), after.alias("after")))
+        placed = F.transform(pairs, lambda p, i: F.struct(p["term"].alias("term"), p["after"].alias("after"), i.alias("at")))
+        return F.filter(placed, lambda p: p["after"].isNull() | (p["after"] != p["term"]))
+
+    def lengths(ends: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(-1)), F.transform(ends, lambda e: e["at"])), 1, F.size(ends))
+        return F.zip_with(ends, before, lambda e, b: F.struct(
+            e["term"].alias("term"), (e["at"] - b).cast("bigint").alias("tf")))
+
+    return F.when(array.isNotNull(), _bound(_bound(F.sort_array(array), run_ends), lengths))

@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.operators.tokens import VOCABULARY_CAP
+from corpuslab.operators.tokens import vocabulary
 from corpuslab.session import materialize, persisted
 
 # Settings of the usual fits.
@@ -34,9 +34,13 @@ def hashed_text_stages(text: str, num_features: int = TEXT_FEATURES, output: str
     ]
 
 
-def counted_text_stages(text: str, vocabulary: int = VOCABULARY_CAP, output: str = "features",
+def counted_text_stages(text: str, vocabulary: int, output: str = "features",
                         weighted: bool = True) -> list:
-    """Tokens and exact counts of the most frequent terms, IDF-weighted if asked."""
+    """Tokens and exact counts of ``vocabulary`` terms at most, IDF-weighted if asked.
+
+    The fitted vocabulary lives on the driver. :func:`fit_classifier` refuses a corpus with
+    more terms than the width given here; :mod:`naive_bayes` has a table form without bound.
+    """
     counts = "tf" if weighted else output
     stages = [
         Tokenizer(inputCol=text, outputCol="tokens"),
@@ -89,10 +93,21 @@ def fit_classifier(train: DataFrame, label: str, classifier: Estimator,
         stages.append(VectorIndexer(inputCol="features", outputCol="indexed",
                                     maxCategories=max_categories, handleInvalid="keep"))
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels.labels)
+    for stage in feature_stages:
+        if isinstance(stage, CountVectorizer):
+            _refuse_cut(train, feature_stages, stage)
     with persisted(train) as rows:
         return Pipeline(stages=[*stages, classifier, back]).fit(rows)
 
 
+def _refuse_cut(train: DataFrame, stages: Sequence, vectorizer: CountVectorizer) -> None:
+    """Error if the training rows have more terms than the vectoriser would keep."""
+    tokenizer = next(s for s in stages if isinstance(s, Tokenizer))
+    terms = vocabulary(train, tokenizer.getInputCol()).count()
+    if terms > vectorizer.getVocabSize():
+        raise ValueError(f"{terms} terms do not fit a vocabulary of {vectorizer.getVocabSize()}")
+
+
 def fit_perceptron(train: DataFrame, label: str, hidden: Sequence[int], max_iter: int = 100,
                    block_size: int = 128) -> PipelineModel:
     """Feed-forward network; the data give the sizes of its first and last layer."""
@@ -108,8 +123,8 @@ def fit_perceptron(train: DataFrame, label: str, hidden: Sequence[int], max_iter
 def predictions(model: PipelineModel, df: DataFrame, id_column: str, label: str) -> DataFrame:
     """Rows with their label and predicted label. Scoring needs no label, so labels not
     seen in training are kept too."""
-    model.stages[0].setHandleInvalid("keep")
-    return model.transform(df).select(
+    # the label index is of no use in scoring; without it the caller's model stays as it is
+    return PipelineModel(model.stages[1:]).transform(df).select(
         id_column, F.col(label).alias("label"), F.col("predicted_label").alias("prediction")
     )
 

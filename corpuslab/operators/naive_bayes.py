@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import hash_bucket
-from corpuslab.functions.text import whitespace_tokens
+from corpuslab.functions.text import counted_elements, whitespace_tokens
 from corpuslab.operators.joins import lookup_join
 from corpuslab.operators.tfidf import smoothed_idf
 from corpuslab.session import materialize
@@ -74,11 +74,11 @@ class NaiveBayesModel:
             "term", "n",
             *[(F.col("weight") * v).alias(f"w{i}") for i, v in enumerate(self._log_likelihoods())],
         )
-        tokens = df.select(
-            id_column, *keep, F.explode_outer(term_array(F.col(text), self.buckets)).alias("term")
-        )
+        counted = counted_elements(term_array(F.col(text), self.buckets))
+        tokens = df.select(id_column, *keep, F.explode_outer(counted).alias("__c")).select(
+            id_column, *keep, F.col("__c.term").alias("term"), F.col("__c.tf").alias("__tf"))
         joined = lookup_join(tokens, weighted, "term", "n", id_column, "left")
-        sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(len(self.classes))]
+        sums = [F.coalesce(F.sum(F.col("__tf") * F.col(f"w{i}")), F.lit(0.0)) for i in range(len(self.classes))]
         return joined.groupBy(id_column, *keep).agg(
             F.array(*[s + F.lit(p) for s, p in zip(sums, self.log_priors)]).alias("scores")
         )

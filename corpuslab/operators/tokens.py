@@ -17,13 +17,9 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import hash_bucket
 from corpuslab.functions.text import (
-    joined_ngrams, pattern_tokens, whitespace_tokens, without_words,
+    counted_elements, joined_ngrams, pattern_tokens, whitespace_tokens, without_words,
 )
 
-# Fixed value: the usual cap on a count vectoriser's vocabulary.
-VOCABULARY_CAP = 262144
-
-
 def tokenize(df: DataFrame, text: str, output: str = "tokens") -> DataFrame:
     return df.withColumn(output, whitespace_tokens(F.col(text)))
 
@@ -76,29 +72,21 @@ def top_elements(df: DataFrame, arrays: str, k: int, output: str) -> DataFrame:
 
 
 def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Occurrences of each term in each document.
+    """Occurrences of each term in each row's text.
 
-    Documents are placed by id before they are cut into tokens. The counts then
-    need no further exchange, and text moves once instead of one row per term.
+    Terms are counted inside the row, so neither text nor tokens move. An id that occurs in
+    several rows has counts for each of them.
     """
-    return (
-        df.select(id_column, text)
-        .repartition(id_column)
-        .select(id_column, F.explode(whitespace_tokens(F.col(text))).alias("term"))
-        .groupBy(id_column, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counted = counted_elements(whitespace_tokens(F.col(text)))
+    return df.select(id_column, F.explode_outer(counted).alias("__c")).where("__c is not null").select(
+        id_column, F.col("__c.term").alias("term"), F.col("__c.tf").alias("tf"))
 
 
 def hashed_term_counts(df: DataFrame, id_column: str, text: str, buckets: int) -> DataFrame:
-    """Occurrences of each hash bucket in each document, with an engine-neutral hash."""
-    return (
-        df.select(id_column, text)
-        .repartition(id_column)
-        .select(id_column, F.explode(whitespace_tokens(F.col(text))).alias("term"))
-        .groupBy(id_column, hash_bucket(F.col("term"), buckets).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Occurrences of each hash bucket in each row's text, with an engine-neutral hash."""
+    hashed = F.transform(whitespace_tokens(F.col(text)), lambda t: hash_bucket(t, buckets))
+    return df.select(id_column, F.explode_outer(counted_elements(hashed)).alias("__c")).where("__c is not null").select(
+        id_column, F.col("__c.term").alias("bucket"), F.col("__c.tf").alias("tf"))
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
@@ -110,12 +98,9 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def vocabulary_size(df: DataFrame, text: str, cap: int = VOCABULARY_CAP) -> DataFrame:
-    """Distinct terms, and how many of them a count vectoriser with a cap keeps."""
-    n = F.count(F.lit(1))
-    return vocabulary(df, text).agg(
-        n.alias("n_terms"), F.least(n, F.lit(cap).cast("bigint")).alias("n_kept")
-    )
+def vocabulary_size(df: DataFrame, text: str) -> DataFrame:
+    """Distinct terms of the corpus."""
+    return vocabulary(df, text).agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def hashed_vectors(df: DataFrame, tokens: str, num_features: int, output: str = "tf") -> DataFrame:

@@ -13,7 +13,6 @@ from corpuslab.sources.tables import load_table
 
 # A short stop list over the languages of the test corpus.
 STOP_WORDS = ["the", "of", "and", "to", "in", "a", "de", "la", "der", "que"]
-TOP_NGRAMS = 50
 TOP_TERMS = 5
 
 _TOKENS = f"SELECT doc_id, {sql.tokens('text')} AS tk FROM documents"
@@ -71,6 +70,17 @@ def remove_stop_words(spark, sf_dir):
     )
 
 
+@query("remove_default_stop_words")
+def remove_default_stop_words(spark, sf_dir):
+    """Tokens left by the default Portuguese stop list."""
+    cut = tokens.tokenize(_texts(spark, sf_dir), "text")
+    kept = tokens.remove_stop_words(cut, "tokens")
+    return (
+        tokens.elements(kept, "kept", ["doc_id"])
+        .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 _NGRAMS = (
     "SELECT unnest([tk[i]||' '||tk[i+1]||' '||tk[i+2] for i in range(1, greatest(len(tk)-1,1))]) AS ngram "
     f"FROM ({_TOKENS})"
@@ -79,11 +89,15 @@ _NGRAMS = (
 
 @query(
     "ngrams_3",
-    f"SELECT ngram, count(*) AS n FROM ({_NGRAMS}) GROUP BY ngram ORDER BY n DESC, ngram LIMIT {TOP_NGRAMS}",
+    f"SELECT ngram, count(*) AS n FROM ({_NGRAMS}) GROUP BY ngram",
 )
 def ngrams_3(spark, sf_dir):
+    """Every run of three tokens with its number in the corpus."""
     cut = tokens.tokenize(_texts(spark, sf_dir), "text")
-    return tokens.top_elements(tokens.ngrams(cut, "tokens", 3), "ngrams", TOP_NGRAMS, "ngram")
+    return (
+        tokens.elements(tokens.ngrams(cut, "tokens", 3), "ngrams", output="ngram")
+        .groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 @query("hashing_tf")
@@ -117,8 +131,7 @@ def term_counts(spark, sf_dir):
 
 @query(
     "vocabulary_size",
-    f"SELECT count(DISTINCT term) AS n_terms, least(count(DISTINCT term), {tokens.VOCABULARY_CAP}) AS n_kept "
-    f"FROM ({_EXPLODED})",
+    f"SELECT count(DISTINCT term) AS n_terms FROM ({_EXPLODED})",
 )
 def vocabulary_size(spark, sf_dir):
     return tokens.vocabulary_size(_texts(spark, sf_dir), "text")

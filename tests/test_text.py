@@ -52,8 +52,8 @@ def test_ngrams_equal_the_ml_ngrams(texts, n):
 def test_counts_and_vocabulary(texts):
     counts = {(r.id, r.term): r.tf for r in tokens.term_counts(texts, "id", "text").collect()}
     assert counts[8, "a"] == 2 and counts[8, "d"] == 1 and (1, "") in counts and not any(i == 2 for i, _ in counts)
-    size = tokens.vocabulary_size(texts, "text", cap=3).first()
-    assert size.n_terms == len({t for _, t in counts}) and size.n_kept == 3
+    size = tokens.vocabulary_size(texts, "text").first()
+    assert size.n_terms == len({t for _, t in counts})
     model = CountVectorizer(inputCol="tokens", outputCol="v").fit(tokens.tokenize(texts, "text"))
     assert size.n_terms == len(model.vocabulary)
 
@@ -101,11 +101,6 @@ def test_tokens_are_computed_once(texts, capsys):
         assert capsys.readouterr().out.count("split(") == 1
 
 
-def test_term_counts_move_text_once(texts, capsys):
-    tokens.term_counts(texts, "id", "text").explain()
-    assert capsys.readouterr().out.count("Exchange") == 1
-
-
 def test_hashing_is_fixed_width(texts):
     vectors = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=8).transform(tokens.tokenize(texts, "text"))
     assert {v.tf.size for v in vectors.collect()} == {8}
