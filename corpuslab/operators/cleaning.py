@@ -42,6 +42,16 @@ def clean_corpus(df: DataFrame, text_columns: Sequence[str], class_columns: Sequ
     return remove_accent_columns(df, [*text_columns, *class_columns])
 
 
+def clean_class_counts(df: DataFrame, class_column: str, required: str) -> DataFrame:
+    """Rows per cleaned class name, of rows whose ``required`` text is not blank.
+
+    Raw names are counted first, so only one row per name goes through cleaning.
+    """
+    raw = df.where(has_content(F.col(required))).groupBy(class_column).agg(F.count(F.lit(1)).alias("__n"))
+    clean = remove_accent_columns(trim_columns(raw, [class_column]), [class_column])
+    return clean.groupBy(class_column).agg(F.sum("__n").alias("n")).orderBy(F.col("n").desc(), class_column)
+
+
 def corpus_of(df: DataFrame, text_column: str, keep: Sequence[str]) -> DataFrame:
     """Corpus over one choice of text column (body, summary or title), blanks dropped."""
     return drop_blank(df, text_column).select(*keep, F.col(text_column).alias("text"))

@@ -33,7 +33,8 @@ def clean_documents(spark, sf_dir, *columns):
     f"WHERE strip_accents({sql.without_tags('trim(text)')}) <> '' GROUP BY lang",
 )
 def clean_class_counts(spark, sf_dir):
-    return profiling.sorted_counts(clean_documents(spark, sf_dir), "lang")
+    docs = load_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"], "doc_id")
+    return cleaning.clean_class_counts(docs, "lang", required="text")
 
 
 @query("exclude_classes",
@@ -129,6 +130,5 @@ def moving_avg(spark, sf_dir):
     )
     averaged = windows.moving_average(
         orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 1, 1,
-        bucket=F.to_date("o_orderdate"),
     )
     return averaged.select("o_orderkey", "o_custkey", F.round("moving_avg", 4).alias("moving_avg"))

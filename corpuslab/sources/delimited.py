@@ -25,15 +25,27 @@ NEWS_SCHEMA = StructType(
 _QUOTING = {"quote": '"', "escape": '"', "nullValue": "\\N"}
 
 
+FILE_BYTES = 128 * 1024 * 1024
+
+
+def _records_per_file(df: DataFrame, file_bytes: int) -> int:
+    """Records of mean size that fill a file."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType)]
+    width = sum(texts, F.lit(20 * len(df.columns)))
+    mean = df.agg(F.avg(width)).first()[0] or 1.0
+    return max(int(file_bytes / mean), 1)
+
+
 def write_delimited(
     df: DataFrame, path: str, sep: str = SEPARATOR, header: bool = True,
-    max_records_per_file: int = 1_000_000,
+    file_bytes: int = FILE_BYTES,
 ) -> str:
     """Distributed delimited sink.
 
-    Records may hold newlines, so a file cannot be split on reading; the
-    record bound per file keeps each reading task small instead.
+    Records may hold newlines, so a file cannot be split on reading; files are kept to
+    about ``file_bytes`` instead, by the mean size of the records, which is measured first.
     """
+    max_records_per_file = _records_per_file(df, file_bytes)
     (
         df.write.options(**_QUOTING)
         .option("sep", sep)
@@ -46,15 +58,9 @@ def write_delimited(
     return path
 
 
-def read_delimited(
-    spark: SparkSession, path: str, schema: StructType | None = NEWS_SCHEMA,
-    sep: str = SEPARATOR, header: bool = True, multi_line: bool = True,
-) -> DataFrame:
-    """Delimited scan; ``schema=None`` infers the types at the cost of one more pass.
-
-    Pass ``multi_line=False`` where no record holds a newline: files then split.
-    """
-    reader = (
+def _reader(spark: SparkSession, sep: str, header: bool, multi_line: bool):
+    """Reader of what the sink writes."""
+    return (
         spark.read.options(**_QUOTING)
         .option("emptyValue", "")
         .option("sep", sep)
@@ -63,6 +69,17 @@ def read_delimited(
         .option("lineSep", "\n")
         .option("maxCharsPerColumn", -1)
     )
+
+
+def read_delimited(
+    spark: SparkSession, path: str, schema: StructType | None = NEWS_SCHEMA,
+    sep: str = SEPARATOR, header: bool = True, multi_line: bool = True,
+) -> DataFrame:
+    """Delimited scan; ``schema=None`` infers the types at the cost of one more pass.
+
+    Pass ``multi_line=False`` where no record holds a newline: files then split.
+    """
+    reader = _reader(spark, sep, header, multi_line)
     if schema is None:
         reader = reader.option("inferSchema", True)
     else:
@@ -82,14 +99,12 @@ def _whole_records(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def read_dropping_malformed(
     spark: SparkSession, path: str, schema: StructType, sep: str = SEPARATOR,
-    header: bool = True,
+    header: bool = True, multi_line: bool = True,
 ) -> DataFrame:
-    """Scan that leaves out records not matching ``schema``."""
+    """Scan that leaves out records not matching ``schema``; records may hold newlines."""
     read = (
-        spark.read.schema(schema)
-        .options(**_QUOTING)
-        .option("sep", sep)
-        .option("header", header)
+        _reader(spark, sep, header, multi_line)
+        .schema(schema)
         .option("mode", "DROPMALFORMED")
         .csv(path)
     )
@@ -98,14 +113,12 @@ def read_dropping_malformed(
 
 def read_marking_malformed(
     spark: SparkSession, path: str, schema: StructType, sep: str = SEPARATOR,
-    header: bool = True,
+    header: bool = True, multi_line: bool = True,
 ) -> DataFrame:
-    """Scan that keeps every record and adds ``is_malformed``."""
+    """Scan that keeps every record and adds ``is_malformed``; records may hold newlines."""
     read = (
-        spark.read.schema(StructType([*schema.fields, StructField(CORRUPT_COLUMN, StringType())]))
-        .options(**_QUOTING)
-        .option("sep", sep)
-        .option("header", header)
+        _reader(spark, sep, header, multi_line)
+        .schema(StructType([*schema.fields, StructField(CORRUPT_COLUMN, StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
         .csv(path)
