@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from corpuslab.operators import classifiers, features, naive_bayes, sampling
+from corpuslab.operators import classifiers, features, naive_bayes, sampling, tokens
 from corpuslab.plans import fragments as sql
 from corpuslab.plans.classes import clean_documents
 from corpuslab.plans.corpus import SEED, TRAIN_TEST
 from corpuslab.plans.registry import query
 from corpuslab.session import scratch_path
-from corpuslab.sources.tables import load_table
 
-HIDDEN_LAYERS = [16]
-TREE_FEATURES = 1000
+# Hidden layers of the network; feature widths of forests and tree, and of the rest.
+HIDDEN_LAYERS = [500, 10]
+TREE_FEATURES = 10000
+SMALL_FEATURES = 5000
 # Most categories per vector slot in each forest.
 CATEGORY_LIMITS = {"random_forest": 29, "entropy_forest": 5}
 
@@ -112,8 +113,9 @@ def nb_hashed_tfidf_predict(spark, sf_dir):
 def nb_counted_tfidf_ml_predict(spark, sf_dir):
     """Count vectoriser, IDF and naive Bayes of pyspark.ml: the same answers as the tables."""
     train, test = _train_test(_split_documents(spark, sf_dir))
+    width = tokens.vocabulary(train, "text").count()  # all terms
     model = classifiers.fit_classifier(
-        train, "lang", classifiers.naive_bayes(), classifiers.counted_text_stages("text")
+        train, "lang", classifiers.naive_bayes(), classifiers.counted_text_stages("text", width)
     )
     return classifiers.predictions(model, test, "doc_id", "lang")
 
@@ -130,7 +132,19 @@ def nb_hashed_ml_predict(spark, sf_dir):
     return classifiers.predictions(PipelineModel.load(path), test, "doc_id", "lang")
 
 
-def text_vectors(spark, sf_dir, num_features=TREE_FEATURES):
+@query("pipeline_predict")
+def pipeline_predict(spark, sf_dir):
+    """Index, features and forest as one pipeline, saved and loaded before use."""
+    train, test = _train_test(_split_documents(spark, sf_dir))
+    model = classifiers.fit_classifier(
+        train, "lang", classifiers.random_forest(features="features"), classifiers.hashed_text_stages("text")
+    )
+    path = scratch_path(spark, "pipeline")
+    model.write().save(path)
+    return classifiers.predictions(PipelineModel.load(path), test, "doc_id", "lang")
+
+
+def text_vectors(spark, sf_dir, num_features=SMALL_FEATURES):
     """Hashed TF-IDF vectors of all documents."""
     docs = clean_documents(spark, sf_dir)
     return classifiers.text_features(docs, docs, "text", ["doc_id", "lang"], num_features)
@@ -144,14 +158,6 @@ def _text_parts(spark, sf_dir, num_features=TREE_FEATURES):
     )
 
 
-def _embedding_parts(spark, sf_dir):
-    rows = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    vectors = features.to_vector(rows, "embedding").select(
-        "vec_id", F.col("label").cast("string").alias("label"), "features"
-    )
-    return _train_test(sampling.hash_split(vectors, "vec_id", TRAIN_TEST, SEED))
-
-
 @query("random_forest_predict")
 def random_forest_predict(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir)
@@ -163,7 +169,7 @@ def random_forest_predict(spark, sf_dir):
 
 @query("entropy_forest_predict")
 def entropy_forest_predict(spark, sf_dir):
-    train, test = _text_parts(spark, sf_dir)
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
     model = classifiers.fit_classifier(
         train, "lang", classifiers.random_forest(5, "entropy"),
         max_categories=CATEGORY_LIMITS["entropy_forest"],
@@ -222,21 +228,22 @@ def logistic_coefficients(spark, sf_dir):
 
 @query("logistic_lbfgs_predict")
 def logistic_lbfgs_predict(spark, sf_dir):
-    train, test = _embedding_parts(spark, sf_dir)
-    model = classifiers.fit_classifier(train, "label", classifiers.logistic_lbfgs())
-    return classifiers.predictions(model, test, "vec_id", "label")
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
+    model = classifiers.fit_classifier(train, "lang", classifiers.logistic_lbfgs())
+    return classifiers.predictions(model, test, "doc_id", "lang")
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf_dir):
-    train, test = _embedding_parts(spark, sf_dir)
-    model = classifiers.fit_perceptron(train, "label", HIDDEN_LAYERS)
-    return classifiers.predictions(model, test, "vec_id", "label")
+    """Network of two hidden layers on TF-IDF vectors; first and last layer come from the data."""
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
+    model = classifiers.fit_perceptron(train, "lang", HIDDEN_LAYERS)
+    return classifiers.predictions(model, test, "doc_id", "lang")
 
 
 @query("cv_grid_metrics")
 def cv_grid_metrics(spark, sf_dir):
-    train, test = _text_parts(spark, sf_dir)
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
     labels = features.fit_string_index(train, "lang")
     folds = sampling.hash_split(
         labels.transform(train), "doc_id", [0.5, 0.5], SEED + 1, split_column="fold"

@@ -26,7 +26,7 @@ def _pairs(spark, name):
 
 @pytest.mark.parametrize("name", [
     "nb_hashed_ml_predict", "random_forest_predict", "entropy_forest_predict", "decision_tree_predict",
-    "logistic_predict", "logistic_lbfgs_predict", "mlp_predict",
+    "logistic_predict", "logistic_lbfgs_predict", "mlp_predict", "pipeline_predict",
 ])
 def test_predictions_are_known_labels_and_complete(spark, name):
     pairs = _pairs(spark, name)
@@ -34,8 +34,7 @@ def test_predictions_are_known_labels_and_complete(spark, name):
     assert pairs and {p for _, p in pairs} <= labels
     right = sum(label == prediction for label, prediction in pairs)
     most_frequent = max(sum(label == c for label, _ in pairs) for c in labels)
-    if name not in ("mlp_predict", "logistic_lbfgs_predict"):  # embeddings carry no label signal
-        assert right >= 0.9 * most_frequent
+    assert right >= 0.9 * most_frequent
 
 
 def test_fitted_clusters_cover_all_rows(spark):
@@ -64,4 +63,3 @@ def test_plans_hold_no_product_join(spark, capsys, name):
 def test_entry_points(spark):
     assert entry_module.entry(spark).columns == ["doc_id", "label", "prediction", "score"]
     assert entry_module.queries().keys() >= entry_module.oracle_sql().keys()
-    assert not [n for n in entry_module.queries() if "pipeline" in n]
