@@ -34,7 +34,7 @@ HEADLINE = [
     "nb_term_loglik", "nb_predict", "nb_tfidf_predict", "nb_hashed_tfidf_predict",
     "nb_counted_tfidf_ml_predict", "nb_hashed_ml_predict", "random_forest_predict",
     "entropy_forest_predict", "decision_tree_predict", "logistic_predict",
-    "logistic_lbfgs_predict", "mlp_predict", "kmeans_assign", "kmeans_update", "kmeans_fit",
+    "logistic_lbfgs_predict", "kmeans_assign", "kmeans_update", "kmeans_fit",
     "text_kmeans_fit", "cv_grid_metrics",
     # evaluation
     "metric_weighted", "nb_metric_weighted",
