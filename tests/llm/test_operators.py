@@ -234,12 +234,6 @@ def test_ppm_equals_the_plain_model(spark, documents, texts):
         assert row[4:] == pytest.approx(expected[i][4:], rel=1e-9)
 
 
-def test_ppm_chances_add_up_to_one():
-    texts = {1: "abracadabra", 2: "abrasive", 10: "x"}
-    base = brute.ppm_scores({**texts, 15: ""})
-    assert all(v[5] < 0 for v in base.values())
-
-
 # licenses
 
 def test_license_places_equal_the_plain_ones(spark, documents, texts, odd):
