@@ -29,7 +29,7 @@ from corpuslab.session import materialize
 
 ORDER = 4
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never holds
-SYMBOLS = 257  # 256 byte values and, apart from them, the reserved start mark's place
+SYMBOLS = 257  # all bytes and the end, which borrows the number of a byte that UTF-8 never holds
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
 CHUNK_BYTES = 32 << 20
