@@ -11,8 +11,8 @@ from corpuslab.session import materialize
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(key, label) for every key in a link; the label is the component's smallest key.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so
-    long chains halve. Nothing is collected but the number of rows that changed. Links are
+    Each round takes the smallest label among neighbours, then the label that this one had,
+    so long chains halve. Nothing is collected but the number of rows that changed. Links are
     taken in both directions; repeated links and loops change nothing. No links: no rows.
     """
     both = links.select(F.col(a).alias("key"), F.col(b).alias("other")).union(
@@ -23,11 +23,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         around = both.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(
             F.min("label").alias("near"))
-        step = labels.join(around, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = materialize(step, "component-step")
-        ahead = step.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        jumped = step.join(ahead, "label").select("key", "old", F.col("next").alias("label"))
-        jumped = materialize(jumped, "component-labels")
-        labels = jumped.select("key", "label")
-        if jumped.where("old <> label").isEmpty():
+        step = labels.join(around, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("new"))
+        ahead = labels.select(F.col("key").alias("new"), F.col("label").alias("next"))
+        step = materialize(step.join(ahead, "new").select("key", "old", F.col("next").alias("label")), "component-labels")
+        labels = step.select("key", "label")
+        if step.where("old <> label").isEmpty():
             return labels

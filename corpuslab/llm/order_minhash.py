@@ -25,8 +25,8 @@ from corpuslab.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-SAMPLED = 3  # shingles per sketch
+SKETCHES = 24
+SAMPLED = 5  # shingles per sketch; at similarity 0.8 a pair misses all sketches once in 15,000
 LEADERS = 4  # each round has this many times the leaders of the last
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -64,27 +64,29 @@ def _sketches(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.ndarr
     """Shingles per row, and per row with any the keys of its sketches."""
     counts = np.bincount(row, minlength=n_rows)
     some = np.flatnonzero(counts)
-    starts = np.concatenate([[0], np.cumsum(counts[some])])[:-1]
     sizes = counts[some]
     keys = np.empty((len(some), SKETCHES), np.uint64)
     owner = np.repeat(np.arange(len(some)), sizes)
+    # of longer rows, only values that small can be among the smallest, but for a rare case
+    limit = np.where(sizes <= 6 * SAMPLED, _TOP, (2.0 ** 64 * np.minimum(6 * SAMPLED / sizes, 0.99)).astype(np.uint64))
+    limit = limit[owner]
     for s in range(SKETCHES):
         ranked = mix(value ^ U((s * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64)))
-        places = np.zeros((len(some), SAMPLED), np.int64)
-        labels = np.zeros((len(some), SAMPLED), np.uint64)
-        for k in range(SAMPLED):
-            least = np.minimum.reduceat(ranked, starts)
-            at = np.flatnonzero(ranked == least[owner])
-            at = at[np.unique(owner[at], return_index=True)[1]]
-            missing = sizes <= k
-            places[:, k] = np.where(missing, np.iinfo(np.int64).max, at)
-            labels[:, k] = np.where(missing, U(k), value[at])
-            ranked[at] = _TOP
-        order = np.argsort(places, axis=1, kind="stable")
-        labels = np.take_along_axis(labels, order, axis=1)
+        at = np.flatnonzero(ranked <= limit)
+        found = np.bincount(owner[at], minlength=len(some))
+        if (found < np.minimum(sizes, SAMPLED)).any():
+            at = np.arange(len(value))
+            found = sizes
+        at = at[np.lexsort((ranked[at], owner[at]))]
+        place = np.arange(SAMPLED)
+        pick = np.minimum((np.cumsum(found) - found)[:, None] + place, max(len(at) - 1, 0))
+        there = place < found[:, None]
+        places = np.where(there, at[pick], np.iinfo(np.int64).max) if len(at) else np.zeros((0, SAMPLED), np.int64)
+        places.sort(axis=1)  # back to text order
         key = np.full(len(some), s + 1, np.uint64)
         for k in range(SAMPLED):
-            key = mix(key * U(0x9FB21C651E98DF25) + labels[:, k])
+            label = np.where(places[:, k] < len(value), value[np.minimum(places[:, k], len(value) - 1)], U(k))
+            key = mix(key * U(0x9FB21C651E98DF25) + label)
         keys[:, s] = key
     return counts, keys
 
@@ -153,7 +155,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, text_a, text_b) that reach the similarity, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        leader: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keys = batch.column("a").to_pylist()
             close = np.zeros(len(keys), bool)
@@ -169,7 +171,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n).filter(pa.array(close)) for n in ("a", "b")], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def text_key(text: str):
@@ -186,54 +188,82 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     """
     rows = docs.select(text_key(text).alias("key"), F.col(id).alias("id"), F.col(text).alias("text"))
     sketches = materialize(sketched(rows), "sketches")
-    links = find_links(rows, sketches)
-    labels = materialize(components(links), "labels")
-    own = sketches.select("key", "id").join(labels, "key", "left").withColumn(
-        "label", F.coalesce("label", "key"))
+    labels, links = labelled_texts(rows, sketches)
+    own = sketches.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = own.groupBy("label").agg(F.min("id").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    return own.join(least, "label").join(degree, "key", "left").select(
-        F.col("id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "key")
+    return own.join(least, "label").join(links, "key", "left").select(
+        F.col("id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key")
 
 
-def find_links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different texts, by key."""
+def labelled_texts(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For texts that have near copies: (key, label), equal within a class, and (key, n_links)."""
     texts = sketches.groupBy("key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    entries = texts.select("key", "n", F.explode("buckets").alias("bucket"))
+    # short numbers stand for the keys from here on; stored, so that they stay the same
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    links = find_links(rows, texts)
+    named = texts.select("key", "node")
+    label = components(links).withColumnRenamed("key", "node").join(named, "node").select("key", F.col("label").alias("l")).join(
+        named.select(F.col("node").alias("l"), F.col("key").alias("label")), "l").select("key", "label")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    return materialize(label, "labels"), degree.join(named, "node").select("key", "n_links")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row of each class, the one with the smallest id; columns stay as they are.
+
+    Rows without an id come last. Of rows that repeat the same id and text one stays.
+    """
+    rows = docs.select(text_key(text).alias("key"), F.col(id).alias("id"), F.col(text).alias("text"))
+    sketches = materialize(sketched(rows), "sketches")
+    labels, _ = labelled_texts(rows, sketches)
+    own = sketches.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    kept = own.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("k")).select(
+        F.col("k.id").alias("_kept_id"), F.col("k.key").alias("_kept_key"))
+    found = docs.withColumn("_own_key", text_key(text)).join(
+        kept, (F.col("_own_key") == F.col("_kept_key")) & F.col(id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return found.dropDuplicates(["_own_key", id]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different texts, by node, from (key, node, n, buckets)."""
+    entries = texts.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = materialize(entries.join(shared, "bucket"), "bucket-members")
-    wanted = members.select("key").distinct()
+    wanted = texts.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
     bodies = materialize(
-        rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+        rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
     spark = rows.sparkSession
-    links = spark.createDataFrame([], "a string, b string")
+    links = spark.createDataFrame([], "a bigint, b bigint")
     tested, led, leaders_per_bucket = links, None, 1
     while True:
-        labels = components(links)
-        labelled = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        labelled = materialize(labelled, "labelled-members")
-        open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-            "lo <> hi").select("bucket")
-        labelled = labelled.join(open_buckets, "bucket")
-        able = labelled
-        if led is not None:
+        if led is None:
+            able = labelled = members.withColumn("label", F.col("node"))
+        else:
+            labels = components(links)
+            labelled = members.join(labels.withColumnRenamed("key", "node"), "node", "left").withColumn(
+                "label", F.coalesce("label", "node"))
+            labelled = materialize(labelled, "labelled-members")
+            open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+                "lo <> hi").select("bucket")
+            labelled = labelled.join(open_buckets, "bucket")
+            members = labelled.select("node", "n", "bucket")  # settled buckets stay out
             able = labelled.join(led.join(labels.withColumnRenamed("key", "leader"), "leader", "left").select(
                 "bucket", F.coalesce("label", "leader").alias("label")), ["bucket", "label"], "left_anti")
-        split = F.pmod(F.xxhash64("key"), F.lit(leaders_per_bucket))
-        leaders = materialize(able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("key", "n", "label")).alias("l")).select(
-            "bucket", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label")),
+        split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_bucket))
+        leaders = materialize(able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("l")).select(
+            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label")),
             "leaders")
         if leaders.isEmpty():
             return links
         pairs = labelled.join(leaders, "bucket").where(
             (F.col("label") != F.col("leader_label"))
             & (F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")))
-        pairs = pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        side = lambda n: bodies.select(F.col("key").alias(n), F.col("text").alias(f"text_{n}"))
+        side = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
         found = _similar(pairs.join(side("b"), "b").join(side("a"), "a"))
-        links = materialize(links.unionByName(found), "links")
-        tested = materialize(tested.unionByName(pairs), "tested")
+        links = links.unionByName(materialize(found, "links"))
+        tested = tested.unionByName(pairs)
         own = leaders.select("bucket", "leader")
-        led = own if led is None else materialize(led.unionByName(own), "led")
+        led = own if led is None else led.unionByName(own)
         leaders_per_bucket *= LEADERS
