@@ -11,11 +11,11 @@ from corpuslab.plans.classes import clean_documents
 from corpuslab.plans.corpus import SEED, TRAIN_TEST
 from corpuslab.plans.registry import query
 from corpuslab.session import scratch_path
+from corpuslab.sources.tables import load_table
 
-# Hidden layers of the network; feature widths of forests and tree, and of the rest.
-HIDDEN_LAYERS = [500, 10]
-TREE_FEATURES = 10000
-SMALL_FEATURES = 5000
+HIDDEN_LAYERS = [16]
+TREE_FEATURES = 1000
+SMALL_FEATURES = 1000
 # Most categories per vector slot in each forest.
 CATEGORY_LIMITS = {"random_forest": 29, "entropy_forest": 5}
 
@@ -137,7 +137,8 @@ def pipeline_predict(spark, sf_dir):
     """Index, features and forest as one pipeline, saved and loaded before use."""
     train, test = _train_test(_split_documents(spark, sf_dir))
     model = classifiers.fit_classifier(
-        train, "lang", classifiers.random_forest(features="features"), classifiers.hashed_text_stages("text")
+        train, "lang", classifiers.random_forest(features="features"),
+        classifiers.hashed_text_stages("text", TREE_FEATURES),
     )
     path = scratch_path(spark, "pipeline")
     model.write().save(path)
@@ -158,6 +159,14 @@ def _text_parts(spark, sf_dir, num_features=TREE_FEATURES):
     )
 
 
+def _embedding_parts(spark, sf_dir):
+    rows = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    vectors = features.to_vector(rows, "embedding").select(
+        "vec_id", F.col("label").cast("string").alias("label"), "features"
+    )
+    return _train_test(sampling.hash_split(vectors, "vec_id", TRAIN_TEST, SEED))
+
+
 @query("random_forest_predict")
 def random_forest_predict(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir)
@@ -228,17 +237,16 @@ def logistic_coefficients(spark, sf_dir):
 
 @query("logistic_lbfgs_predict")
 def logistic_lbfgs_predict(spark, sf_dir):
-    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
-    model = classifiers.fit_classifier(train, "lang", classifiers.logistic_lbfgs())
-    return classifiers.predictions(model, test, "doc_id", "lang")
+    train, test = _embedding_parts(spark, sf_dir)
+    model = classifiers.fit_classifier(train, "label", classifiers.logistic_lbfgs())
+    return classifiers.predictions(model, test, "vec_id", "label")
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf_dir):
-    """Network of two hidden layers on TF-IDF vectors; first and last layer come from the data."""
-    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
-    model = classifiers.fit_perceptron(train, "lang", HIDDEN_LAYERS)
-    return classifiers.predictions(model, test, "doc_id", "lang")
+    train, test = _embedding_parts(spark, sf_dir)
+    model = classifiers.fit_perceptron(train, "label", HIDDEN_LAYERS)
+    return classifiers.predictions(model, test, "vec_id", "label")
 
 
 @query("cv_grid_metrics")
