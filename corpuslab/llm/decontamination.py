@@ -26,6 +26,7 @@ MASKS = ("1111111", "111011011", "1101100111", "11011111011")
 TABLE_BITS = 1 << 24
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
+LOSS = 4  # equal words that make up for another one: share / (1 - share)
 
 
 def _places(mask: str) -> tuple[int, ...]:
@@ -105,20 +106,26 @@ def _bit_table(seeds: DataFrame) -> np.ndarray:
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
     """(equal words, span, first word in doc) of the best stretch where doc[i + shift] = item[i].
 
-    A stretch begins and ends with equal words. Every equal word gains, every other loses
-    so much that a stretch below ``LEAST_SHARE`` never pays.
+    Only stretches of ``LEAST_WORDS`` item words (or all of a shorter item) and at least
+    ``LEAST_SHARE`` equal count; (0, 0, 0) if there is none. Item words that lie before or
+    after the document are not equal. The best one gains most, where an equal word gains one
+    and another loses so much that a share of exactly ``LEAST_SHARE`` gives zero.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
+    least = min(LEAST_WORDS, len(item))
     if high <= low:
         return 0, 0, 0
-    same = doc[low + shift:high + shift] == item[low:high]
-    gain = np.where(same, 1.0 - LEAST_SHARE, -LEAST_SHARE)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(total)
-    rise = total - lowest
-    end = int(np.argmax(rise))
-    begin = int(np.flatnonzero(total[:end + 1] == lowest[end])[-1]) if end else 0
-    return int(same[begin:end].sum()), end - begin, begin + low + shift
+    same = np.zeros(len(item), bool)
+    same[low:high] = doc[low + shift:high + shift] == item[low:high]
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -LOSS))])  # whole numbers: exact at the threshold
+    lowest = np.minimum.accumulate(total[:len(total) - least])
+    rise = total[least:] - lowest
+    found = int(np.argmax(rise))
+    if rise[found] < 0:
+        return 0, 0, 0
+    begin = int(np.flatnonzero(total[:found + 1] == lowest[found])[-1])
+    end = found + least
+    return int(same[begin:end].sum()), end - begin, max(begin + shift, 0)
 
 
 _OVERLAP = "key string, item string, n_equal bigint, n_span bigint, first_word bigint"
@@ -132,7 +139,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
                     "key", "item", "shift", "words", "item_words"))):
                 doc, words_ = doc.values.to_numpy(), words_.values.to_numpy()
                 equal, span, first = best_overlap(doc, words_, shift.as_py())
-                if equal and equal >= LEAST_SHARE * span and span >= min(LEAST_WORDS, len(words_)):
+                if equal:
                     rows.append((key.as_py(), item.as_py(), equal, span, first))
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -151,8 +158,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
 
     ``key`` and ``item`` are the MD5 of the document's and the item's text. One row per pair
     of texts that share an aligned stretch of at least 13 words (or the whole item, if it
-    is shorter and has at least seven), at least 80 % of them equal. Words are runs of
-    letters and digits, case ignored. Null, empty or wordless texts, and empty tables, give
+    is shorter and has at least seven), at least 80 % of them equal. Item words beyond either
+    end of the document are not equal. Words are runs of letters and digits, case ignored. Null, empty or wordless texts, and empty tables, give
     no rows; repeated rows and ties change nothing, as only distinct texts are compared.
     """
     items = benchmark.select(text_key(item_text).alias("key"), F.col(item_text).alias("text")).dropDuplicates(["key"])
