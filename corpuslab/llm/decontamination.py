@@ -2,7 +2,8 @@
 
 A mask keeps some positions of a window of words and ignores the others, so a window with
 a substitution at an ignored position still hashes alike. Hashes of documents and of
-benchmark items meet in a join; an aligned comparison around each hit decides.
+benchmark items meet in a join; an aligned comparison around each hit decides. The masks
+leave no pattern of substitutions out that the comparison would accept.
 
 A fixed-size bit table of the benchmark's hashes is sent to all tasks to thin out the
 document side before the join; its size does not depend on the benchmark. What it lets
@@ -21,8 +22,24 @@ from pyspark.sql import functions as F
 from corpuslab.llm.batches import NOT_ALPHANUMERIC, mix, slices, windows, words
 from corpuslab.session import materialize
 
-# Words kept (1) and ignored (0) in each seed.
-MASKS = ("1111111", "111011011", "1101100111", "11011111011")
+# Words kept (1) and ignored (0) in each seed, by the item's number of words (the
+# last: that many or more). Found by search; every way to replace as many words as the
+# threshold allows leaves the kept words of some mask equal (enumerated in the tests).
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("11111", "111011", "110111"),
+    8: ("111011", "11111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
+    13: ("111011011", "11010100111", "1111111", "1111001101", "10110010111", "11101111", "11101100011"),
+}
 TABLE_BITS = 1 << 24
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
@@ -33,14 +50,21 @@ def _places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def _seeds(value: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per mask: positions whose window lies in one text, and their hashes."""
-    for m, mask in enumerate(MASKS):
-        places = _places(mask)
-        found = windows(value, places)
-        whole = row[:len(found)] == row[places[-1]:places[-1] + len(found)]
-        at = np.flatnonzero(whole)
-        yield at, mix(found[at] + np.uint64(m + 1))
+def _seeds(value: np.ndarray, row: np.ndarray, lengths: list[int],
+           own: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per mask for items of the given lengths: positions whose window lies in one text, and their hashes.
+
+    ``own`` has the length of each text where only its own masks are wanted.
+    """
+    for length in lengths:
+        for m, mask in enumerate(MASKS[length]):
+            places = _places(mask)
+            found = windows(value, places)
+            whole = row[:len(found)] == row[places[-1]:places[-1] + len(found)]
+            if own is not None:
+                whole &= own[row[:len(found)]] == length
+            at = np.flatnonzero(whole)
+            yield at, mix(found[at] + np.uint64(16 * length + m))
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +80,21 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 _SEEDED = "key string, words array<bigint>, hashes array<bigint>, places array<bigint>"
 
 
-def _seeded(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """Texts with seeds (those in the bit table, if given) as (key, words, hashes, places)."""
+def _seeded(rows: DataFrame, table: np.ndarray | None, lengths: list[int]) -> DataFrame:
+    """Texts with seeds as (key, words, hashes, places).
+
+    With a bit table: seeds in it, of the masks for all lengths; without: of the masks for
+    the text's own length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text")):
                 w = words(texts, NOT_ALPHANUMERIC)
-                at, hashes = [], []
-                for places, found in _seeds(w.hash, w.row):
+                n_words = np.diff(w.first)
+                own = np.minimum(n_words, LEAST_WORDS) if table is None else None
+                at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for places, found in _seeds(w.hash, w.row, lengths, own):
                     if table is not None:
                         a, b = _bits(found)
                         hit = table[a] & table[b]
@@ -78,7 +108,6 @@ def _seeded(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
                 hit = np.flatnonzero(per_row)
                 if len(hit) == 0:
                     continue
-                n_words = np.diff(w.first)
                 chosen = np.isin(w.row, hit)
                 keys = batch.column("key").take(pa.array(hit + texts.first))
                 yield pa.RecordBatch.from_arrays(
@@ -158,17 +187,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
 
     ``key`` and ``item`` are the MD5 of the document's and the item's text. One row per pair
     of texts that share an aligned stretch of at least 13 words (or the whole item, if it
-    is shorter and has at least seven), at least 80 % of them equal. Item words beyond either
+    is shorter), at least 80 % of them equal. Item words beyond either
     end of the document are not equal. Words are runs of letters and digits, case ignored. Null, empty or wordless texts, and empty tables, give
     no rows; repeated rows and ties change nothing, as only distinct texts are compared.
     """
     items = benchmark.select(text_key(item_text).alias("key"), F.col(item_text).alias("text")).dropDuplicates(["key"])
-    items = materialize(_seeded(items, None), "benchmark-seeds")
+    items = materialize(_seeded(items, None, list(MASKS)), "benchmark-seeds")
+    n_words = F.least(F.size("words"), F.lit(LEAST_WORDS))
+    lengths = sorted(r[0] for r in items.select(n_words).distinct().collect())  # 13 at most
     item_seeds = items.select(F.col("key").alias("item"), F.explode(F.arrays_zip("hashes", "places")).alias("s")
                               ).select("item", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"))
     table = _bit_table(item_seeds)
     rows = docs.select(text_key(text).alias("key"), F.col(text).alias("text"))
-    hits = materialize(_seeded(rows, table), "document-seeds")
+    hits = materialize(_seeded(rows, table, lengths), "document-seeds")
     once = hits.dropDuplicates(["key"])
     seeds = once.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(
         "key", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
