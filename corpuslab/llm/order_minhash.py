@@ -6,8 +6,9 @@ one sketch are candidates. Candidates are compared by the longest common run of
 order, within the band of diagonals that similarity 0.8 allows.
 
 Equal texts are folded first, so groups of copies cost one text. Within a bucket nothing is
-paired with everything: each round compares the members with a few leaders, and members
-already linked to a leader lead no more. Rounds go on until every bucket is settled.
+paired with its own class: each round compares the members with a few leaders of other
+classes. Rounds go on until a bucket has one class, or all members outside its largest class
+have led, so that every pair of members in different classes was compared.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     """(id, class_id, n_links, key) for each row: rows of one class are exact or near copies.
 
     ``class_id`` is the smallest id of the class; ``n_links`` counts the other texts found
-    similar to the row's text. Equal texts (null counts as empty) are one class; a text
+    similar to the row's text; texts already known to be of one class are not compared. Equal texts (null counts as empty) are one class; a text
     without words is linked to its equals only. Rows with a null id get a class like any
     other; the id is null only for classes without any id. Repeated rows stay repeated.
     """
@@ -243,12 +244,15 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
             labelled = members.join(labels.withColumnRenamed("key", "node"), "node", "left").withColumn(
                 "label", F.coalesce("label", "node"))
             labelled = materialize(labelled, "labelled-members")
-            open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-                "lo <> hi").select("bucket")
+            sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+            open_buckets = sizes.groupBy("bucket").agg(
+                F.count("*").alias("n_labels"), F.max(F.struct("size", "label")).alias("l")).where(
+                "n_labels > 1").select("bucket", F.col("l.label").alias("main"))
             labelled = labelled.join(open_buckets, "bucket")
             members = labelled.select("node", "n", "bucket")  # settled buckets stay out
-            able = labelled.join(led.join(labels.withColumnRenamed("key", "leader"), "leader", "left").select(
-                "bucket", F.coalesce("label", "leader").alias("label")), ["bucket", "label"], "left_anti")
+            # a pair of two classes has a member outside the largest, so that one need not lead
+            able = labelled.where("label <> main").join(
+                led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
         split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_bucket))
         leaders = materialize(able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("l")).select(
             "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label")),
