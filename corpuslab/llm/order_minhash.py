@@ -2,7 +2,7 @@
 
 A sketch samples, for each of several hash functions, the few smallest shingles of five
 words, each labelled with its occurrence, and keeps them in text order; texts that agree on
-one sketch are candidates. Candidates are compared by the longest common run of shingles in
+one sketch are candidates. Short texts have keys that miss no similar pair. Candidates are compared by the longest common run of shingles in
 order, within the band of diagonals that similarity 0.8 allows.
 
 Equal texts are folded first, so groups of copies cost one text. Within a bucket nothing is
@@ -14,6 +14,7 @@ have led, so that every pair of members in different classes was compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 SAMPLED = 5  # shingles per sketch; at similarity 0.8 a pair misses all sketches once in 15,000
+EXACT = 18  # texts with up to so many shingles have exact keys; those with up to 14 have no sketches
+KEY_SHINGLES = 3  # shingles that an exact key holds
 LEADERS = 4  # each round has this many times the leaders of the last
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -92,6 +95,31 @@ def _sketches(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return counts, keys
 
 
+def _exact_keys(row: np.ndarray, value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key, such that texts at the similarity with up to ``EXACT`` shingles each share a key.
+
+    Of n shingles, a similar text holds at least m = 0.8 n. With all shingles in one fixed
+    order, two such texts share any l <= m of them among the first n - m + l of both; a key
+    is the hash of l of these.
+    """
+    starts = np.cumsum(counts) - counts
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in range(1, EXACT + 1):
+        own = np.flatnonzero(counts == n)
+        if len(own) == 0:
+            continue
+        ranked = mix(value[starts[own][:, None] + np.arange(n)] ^ U(0x5851F42D4C957F2D))
+        ranked.sort(axis=1)
+        size = min(n, KEY_SHINGLES)  # a similar text has as many shingles, or both have three or more
+        for chosen in combinations(range(n - (4 * n + 4) // 5 + size), size):
+            key = np.full(len(own), SKETCHES + 1, np.uint64)
+            for k in chosen:
+                key = mix(key * U(0x9FB21C651E98DF25) + ranked[:, k])
+            rows.append(own)
+            keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def sketched(rows: DataFrame) -> DataFrame:
     """(key, text, id) to (key, id, n, buckets): number of shingles and sketch keys."""
     id_type = rows.schema["id"].dataType.simpleString()
@@ -101,8 +129,14 @@ def sketched(rows: DataFrame) -> DataFrame:
             for texts in slices(batch.column("text")):
                 row, value = labelled_shingles(texts)
                 counts, keys = _sketches(row, value, len(texts))
-                ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, SKETCHES, 0))]).astype(np.int32)
-                buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                some = np.flatnonzero(counts)
+                long = 5 * counts[some] > 4 * EXACT  # may be similar to a text without exact keys
+                owner, exact = _exact_keys(row, value, counts)
+                owner = np.concatenate([np.repeat(some[long], SKETCHES), owner])
+                order = np.argsort(owner, kind="stable")
+                keys = np.concatenate([keys[long].reshape(-1), exact])[order]
+                ends = np.searchsorted(owner[order], np.arange(len(texts) + 1)).astype(np.int32)
+                buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
                 part = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("id"), pa.array(counts.astype(np.int64)), buckets],
@@ -121,18 +155,18 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) == 0 or len(b) == 0:
         return 0.0
     total = len(a) + len(b)
-    band = (1 - SIMILARITY) / (1 + SIMILARITY) * total
-    if abs(len(a) - len(b)) > band:
+    # whole numbers, so that pairs at exactly 0.8 stay: common / (total - common) >= 4 / 5
+    if 9 * abs(len(a) - len(b)) > total:
         return 0.0
     order = np.argsort(b)
     place = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
     found = order[place]
     at = np.flatnonzero(b[found] == a)
     found = found[at]
-    near = np.abs(found - at) <= band
+    near = 9 * np.abs(found - at) <= total
     found = found[near]
     common = len(found)
-    if common < (total - band) / 2 - 1e-9:
+    if 9 * common < 4 * total:
         return 0.0
     if common > 1 and not (np.diff(found) > 0).all():
         common = _longest_increasing(found)
@@ -261,7 +295,7 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
             return links
         pairs = labelled.join(leaders, "bucket").where(
             (F.col("label") != F.col("leader_label"))
-            & (F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")))
+            & (5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n")))
         pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         side = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))

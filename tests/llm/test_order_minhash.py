@@ -1,7 +1,10 @@
-"""Near-duplicates whose only link joins members that led nothing."""
+"""Near-duplicates whose only link joins members that led nothing; pairs at exactly 0.8; short texts."""
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 
 from corpuslab.llm import order_minhash
@@ -30,3 +33,38 @@ def test_members_of_two_classes_that_never_led_are_compared(spark, one_bucket):
     a, b = 0, 40
     found = one_bucket({a: chain[0], b: chain[1], d: chain[2], c: chain[3]})
     assert found == {tuple(sorted(p)) for p in ((a, b), (b, d), (c, d))}
+
+
+@pytest.mark.parametrize("n", [4, 8, 12, 20, 40, 52, 100, 400, 1000])
+def test_pairs_at_exactly_the_threshold(n):
+    whole = np.arange(n + n // 4, dtype=np.uint64)
+    assert order_minhash.similarity(whole[:n], whole) == order_minhash.similarity(whole, whole[n // 4:]) == 0.8
+    assert order_minhash.similarity(whole[:n - 1], whole) == 0.0
+
+
+def test_similar_short_texts_share_an_exact_key():
+    rng = random.Random(5)
+    for n in range(1, order_minhash.EXACT + 1):
+        for _ in range(60):
+            a = [rng.getrandbits(63) for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(b) + 1)
+                b[at:at + rng.randint(0, 1)] = [rng.getrandbits(63) for _ in range(rng.randint(0, 1))]
+            common = len(set(a) & set(b))
+            if not 0 < len(b) <= order_minhash.EXACT or 9 * common < 4 * (len(a) + len(b)):
+                continue
+            row, keys = order_minhash._exact_keys(
+                np.repeat([0, 1], [len(a), len(b)]), np.array(a + b, np.uint64), np.array([len(a), len(b)]))
+            assert set(keys[row == 0]) & set(keys[row == 1]), (a, b)
+
+
+def test_one_more_word_than_eight(spark):
+    """Four of five shingles: similarity 0.8, in 30 pairs that share nothing with each other."""
+    rows = []
+    for i in range(30):
+        words = [f"w{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert found == {i: i - i % 2 for i in range(60)}
