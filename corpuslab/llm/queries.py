@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
-    cotraining, decontamination, licenses, mixing, order_minhash, personal_data, ppm, quality_rules, secrets,
-    token_files,
+    conversations, cotraining, decontamination, licenses, mixing, order_minhash, personal_data, ppm, quality_rules,
+    resampling, secrets, token_files, warc,
 )
 from corpuslab.llm.registry import QUERIES, documents, query  # noqa: F401
-from corpuslab.session import materialize
+from corpuslab.session import materialize, scratch_path
 
 
 @query("op7_quality_rules")
@@ -136,3 +136,82 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return cotraining.score(docs, cotraining.fit(docs, labels))
+
+
+SQL_WARC = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h,
+           min(page_id) OVER (PARTITION BY body) AS smallest FROM bodies)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM smallest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM smallest THEN smallest END AS refers_to
+FROM hashed
+"""
+
+
+@query("op11_warc_archives", SQL_WARC)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, digest and kind of the record of each page, read back from the archives."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    path = scratch_path(spark, "archives")
+    warc.write(pages, path)
+    id_type = pages.schema["page_id"].dataType
+    return warc.read(spark, path).select(
+        F.col("page_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(id_type).alias("refers_to"))
+
+
+SQL_RESAMPLING = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+texts AS (
+  SELECT doc_id, row_number() OVER () AS nr, true AS own, text FROM documents
+  UNION ALL SELECT NULL, 0, false, text FROM benchmark),
+words AS (
+  SELECT nr, own, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)),
+      lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM words JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(c.t + 1 AS DOUBLE) * CAST(z.s + 10000 AS DOUBLE)
+    / (CAST(c.s + 1 AS DOUBLE) * CAST(z.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts c, totals z),
+weights AS (
+  SELECT nr, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE own GROUP BY nr),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+      AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (nr) WHERE texts.own),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS n_enough FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * n_enough // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op12_importance_resampling", SQL_RESAMPLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of all documents in a draw that resembles the benchmark."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return resampling.resampled(documents(spark, sf_dir), items).select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost, audit and digest of each conversation, damaged on purpose and repaired."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return conversations.report(conversations.damaged(rows)).withColumnRenamed("conv", "conv_id")
