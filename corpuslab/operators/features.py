@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import (
     IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
     VectorIndexer,
@@ -38,6 +41,32 @@ def vector_slots(df: DataFrame, vector: str, keep: Sequence[str], output: str =
     )
 
 
+def vector_entries(df: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
+    """Vectors as two arrays, ``slots`` and ``values``, as long as what the vector stores.
+
+    A null vector has no entries. Sparse vectors stay sparse: nothing of their full width is built.
+    """
+    names = list(keep)
+    inner = df.select(*[F.col(f"`{c}`") for c in names], F.col(vector).alias("__vector"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]]
+                       + ["slots array<int>", "values array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, _, indices, values = batch.column(len(names)).flatten()
+            size = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            slots = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+            is_sparse = pc.equal(pc.fill_null(kind, 1), 0).to_numpy(zero_copy_only=False)
+            slots[np.repeat(is_sparse, size)] = indices.flatten().to_numpy(zero_copy_only=False)
+            offsets = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(slots.astype(np.int32))),
+                 pa.ListArray.from_arrays(offsets, values.flatten())], names=[*names, "slots", "values"])
+
+    return inner.mapInArrow(run, schema)
+
+
 def index_vector(df: DataFrame, vector: str, max_categories: int, output: str = "indexed",
                  fit_on: DataFrame | None = None) -> DataFrame:
     """Re-index slots with few distinct values; fit on training rows to keep test rows unseen."""

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from corpuslab.operators import classifiers, features, naive_bayes, sampling, tokens
+from corpuslab.operators import classifiers, features, forests, layers, naive_bayes, optimality, sampling, tokens
 from corpuslab.plans import fragments as sql
 from corpuslab.plans.classes import clean_documents
 from corpuslab.plans.corpus import SEED, TRAIN_TEST
 from corpuslab.plans.registry import query
 from corpuslab.session import scratch_path
-from corpuslab.sources.tables import load_table
 
-HIDDEN_LAYERS = [16]
-TREE_FEATURES = 1000
-SMALL_FEATURES = 1000
+# Hidden layers of the network, slots of the trees, of the other narrow fits.
+HIDDEN_LAYERS = [500, 10]
+TREE_FEATURES = 10000
+SMALL_FEATURES = 5000
 # Most categories per vector slot in each forest.
 CATEGORY_LIMITS = {"random_forest": 29, "entropy_forest": 5}
 
@@ -159,39 +159,70 @@ def _text_parts(spark, sf_dir, num_features=TREE_FEATURES):
     )
 
 
-def _embedding_parts(spark, sf_dir):
-    rows = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    vectors = features.to_vector(rows, "embedding").select(
-        "vec_id", F.col("label").cast("string").alias("label"), "features"
-    )
-    return _train_test(sampling.hash_split(vectors, "vec_id", TRAIN_TEST, SEED))
+_HELD_OUT = (
+    "SELECT doc_id, label, true AS agrees FROM (SELECT doc_id, lang AS label, "
+    f"strip_accents({sql.without_tags('trim(text)')}) AS text, {sql.unit('doc_id', SEED)} AS u FROM documents) "
+    "WHERE text <> '' AND u >= 0.7"
+)
+_TRAIN_LABELS = _HELD_OUT.replace("doc_id, label, true AS agrees", "DISTINCT label").replace("u >= 0.7", "u < 0.7")
 
 
-@query("random_forest_predict")
-def random_forest_predict(spark, sf_dir):
+def _agreement(predicted, relational):
+    """Whether the fitted object and its tables give each row the same class."""
+    own = relational.select(F.col("doc_id").alias("own_id"), F.col("prediction").alias("own"))
+    joined = predicted.join(own, F.col("doc_id") == F.col("own_id"), "left")
+    return joined.select("doc_id", "label", F.coalesce(F.col("prediction") == F.col("own"), F.lit(False)).alias("agrees"))
+
+
+def _fitted_forest(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir)
-    model = classifiers.fit_classifier(
+    return classifiers.fit_classifier(
         train, "lang", classifiers.random_forest(), max_categories=CATEGORY_LIMITS["random_forest"]
-    )
-    return classifiers.predictions(model, test, "doc_id", "lang")
+    ), test
 
 
-@query("entropy_forest_predict")
-def entropy_forest_predict(spark, sf_dir):
+def _fitted_entropy_forest(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
-    model = classifiers.fit_classifier(
-        train, "lang", classifiers.random_forest(5, "entropy"),
-        max_categories=CATEGORY_LIMITS["entropy_forest"],
-    )
-    return classifiers.predictions(model, test, "doc_id", "lang")
+    return classifiers.fit_classifier(
+        train, "lang", classifiers.random_forest(5, "entropy"), max_categories=CATEGORY_LIMITS["entropy_forest"],
+    ), test
 
 
 def _fitted_tree(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir)
-    model = classifiers.fit_classifier(
+    return classifiers.fit_classifier(
         train, "lang", classifiers.decision_tree(), max_categories=CATEGORY_LIMITS["random_forest"]
-    )
-    return model, test
+    ), test
+
+
+def _relational_forest(spark, model, test):
+    """Agreement of a fitted forest with its node table on the held-out documents."""
+    labels, slots, trees = model.stages[0].labels, model.stages[1], model.stages[2]
+    entries = features.vector_entries(slots.transform(test), "indexed", ["doc_id"])
+    walked = forests.score_nodes(entries, "doc_id", forests.forest_nodes(spark, trees), labels)
+    return _agreement(classifiers.predictions(model, test, "doc_id", "lang"), walked)
+
+
+@query("random_forest_predict")
+def random_forest_predict(spark, sf_dir):
+    model, test = _fitted_forest(spark, sf_dir)
+    return classifiers.predictions(model, test, "doc_id", "lang")
+
+
+@query("random_forest_nodes_agree", _HELD_OUT)
+def random_forest_nodes_agree(spark, sf_dir):
+    return _relational_forest(spark, *_fitted_forest(spark, sf_dir))
+
+
+@query("entropy_forest_predict")
+def entropy_forest_predict(spark, sf_dir):
+    model, test = _fitted_entropy_forest(spark, sf_dir)
+    return classifiers.predictions(model, test, "doc_id", "lang")
+
+
+@query("entropy_forest_nodes_agree", _HELD_OUT)
+def entropy_forest_nodes_agree(spark, sf_dir):
+    return _relational_forest(spark, *_fitted_entropy_forest(spark, sf_dir))
 
 
 @query("decision_tree_predict")
@@ -200,53 +231,154 @@ def decision_tree_predict(spark, sf_dir):
     return classifiers.predictions(model, test, "doc_id", "lang")
 
 
+@query("decision_tree_nodes_agree", _HELD_OUT)
+def decision_tree_nodes_agree(spark, sf_dir):
+    return _relational_forest(spark, *_fitted_tree(spark, sf_dir))
+
+
 @query("tree_summary")
 def tree_summary(spark, sf_dir):
     model, _ = _fitted_tree(spark, sf_dir)
     return classifiers.tree_summary(spark, model.stages[2])
 
 
+@query("tree_nodes_summary_agrees",
+       "SELECT 0::BIGINT AS tree, true AS depth_agrees, true AS nodes_agree, true AS features_agree, true AS leaves_fit, "
+       f"count(*) AS n_rows FROM ({_HELD_OUT.replace('u >= 0.7', 'u < 0.7')})")
+def tree_nodes_summary_agrees(spark, sf_dir):
+    """The fitted tree's summary against its node table, whose root has seen every training row."""
+    model, _ = _fitted_tree(spark, sf_dir)
+    own = classifiers.tree_summary(spark, model.stages[2])
+    nodes = forests.forest_nodes(spark, model.stages[2])
+    found = forests.nodes_summary(nodes).withColumnsRenamed(
+        {"depth": "d", "n_nodes": "nodes", "n_features_used": "used"})
+    root = nodes.where("node = 0").select("tree", F.col("n").alias("n_rows"))
+    return own.join(found, "tree").join(root, "tree").select(
+        "tree", (F.col("depth") == F.col("d")).alias("depth_agrees"), (F.col("n_nodes") == F.col("nodes")).alias("nodes_agree"),
+        (F.col("n_features_used") == F.col("used")).alias("features_agree"),
+        (2 * F.col("n_leaves") == F.col("nodes") + 1).alias("leaves_fit"), "n_rows")
+
+
 @query("tree_feature_importances")
 def tree_feature_importances(spark, sf_dir):
     model, _ = _fitted_tree(spark, sf_dir)
     return classifiers.feature_importances(spark, model.stages[2])
 
 
+@query("forest_importances_agree", "SELECT true AS slots_agree, true AS values_agree")
+def forest_importances_agree(spark, sf_dir):
+    """Importances of a forest's slots against those of its node table."""
+    model, _ = _fitted_forest(spark, sf_dir)
+    own = classifiers.feature_importances(spark, model.stages[2]).withColumnRenamed("importance", "own")
+    found = forests.nodes_importances(forests.forest_nodes(spark, model.stages[2]))
+    return own.join(found, "slot", "full").agg(
+        F.bool_and(F.col("own").isNotNull() & F.col("importance").isNotNull()).alias("slots_agree"),
+        F.bool_and(F.abs(F.col("own") - F.col("importance")) < 1e-9).alias("values_agree"))
+
+
+# Penalties of the regressions, iterations of the one that has to be exact.
+PENALTY, WEAK_PENALTY, L1_SHARE, UNTIL_EXACT = 0.3, 0.01, 0.8, 1000
+# Largest violation of an optimality condition that still counts as none.
+SLACK = 1e-3
+
+
 def _fitted_logistic(spark, sf_dir):
     train, test = _text_parts(spark, sf_dir, classifiers.TEXT_FEATURES)
-    return classifiers.fit_classifier(train, "lang", classifiers.logistic()), test
+    return classifiers.fit_classifier(train, "lang", classifiers.logistic()), train, test
+
+
+def _fitted_lbfgs(spark, sf_dir):
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
+    return classifiers.fit_classifier(train, "lang", classifiers.logistic_lbfgs()), train, test
+
+
+def _certified(spark, model, train, reg, elastic_net):
+    """Per class, whether the fitted coefficients are optimal for the training rows."""
+    entries = features.vector_entries(train, "features", ["doc_id", "lang"])
+    layer = layers.regression_layer(spark, model.stages[1])
+    found = optimality.violations(entries, "doc_id", "lang", layer, model.stages[0].labels, reg, elastic_net)
+    return optimality.certificate(found).withColumnRenamed("class", "label")
 
 
 @query("logistic_predict")
 def logistic_predict(spark, sf_dir):
-    model, test = _fitted_logistic(spark, sf_dir)
+    model, _, test = _fitted_logistic(spark, sf_dir)
     return classifiers.predictions(model, test, "doc_id", "lang")
 
 
+@query("logistic_layer_agrees", _HELD_OUT)
+def logistic_layer_agrees(spark, sf_dir):
+    """The regression against its table of coefficients, fitted with a penalty that leaves some."""
+    train, test = _text_parts(spark, sf_dir, classifiers.TEXT_FEATURES)
+    model = classifiers.fit_classifier(train, "lang", classifiers.logistic(reg=WEAK_PENALTY))
+    entries = features.vector_entries(test, "features", ["doc_id"])
+    layer = layers.regression_layer(spark, model.stages[1])
+    own = layers.predict(entries, "doc_id", [layer], model.stages[0].labels)
+    return _agreement(classifiers.predictions(model, test, "doc_id", "lang"), own)
+
+
 @query("logistic_intercepts")
 def logistic_intercepts(spark, sf_dir):
-    model, _ = _fitted_logistic(spark, sf_dir)
+    model, _, _ = _fitted_logistic(spark, sf_dir)
     return classifiers.intercepts(spark, model.stages[1], model.stages[0].labels)
 
 
 @query("logistic_coefficients")
 def logistic_coefficients(spark, sf_dir):
-    model, _ = _fitted_logistic(spark, sf_dir)
+    model, _, _ = _fitted_logistic(spark, sf_dir)
     return classifiers.coefficients(spark, model.stages[1], model.stages[0].labels)
 
 
+@query("logistic_certificate", f"SELECT label, true AS is_optimal FROM ({_TRAIN_LABELS})")
+def logistic_certificate(spark, sf_dir):
+    """The usual regression is at its optimum."""
+    model, train, _ = _fitted_logistic(spark, sf_dir)
+    found = _certified(spark, model, train, PENALTY, L1_SHARE)
+    return found.select("label", (F.col("worst") < SLACK).alias("is_optimal"))
+
+
+@query("logistic_sparse_certificate",
+       f"SELECT label, true AS is_optimal, true AS is_sparse FROM ({_TRAIN_LABELS})")
+def logistic_sparse_certificate(spark, sf_dir):
+    """With a weaker penalty some coefficients stay, most are 0, and all conditions hold."""
+    train, _ = _text_parts(spark, sf_dir, classifiers.TEXT_FEATURES)
+    model = classifiers.fit_classifier(train, "lang", classifiers.logistic(UNTIL_EXACT, WEAK_PENALTY))
+    found = _certified(spark, model, train, WEAK_PENALTY, L1_SHARE)
+    return found.select("label", (F.col("worst") < SLACK).alias("is_optimal"),
+                        F.col("n_nonzero").between(1, F.col("n_slots") / 2).alias("is_sparse"))
+
+
 @query("logistic_lbfgs_predict")
 def logistic_lbfgs_predict(spark, sf_dir):
-    train, test = _embedding_parts(spark, sf_dir)
-    model = classifiers.fit_classifier(train, "label", classifiers.logistic_lbfgs())
-    return classifiers.predictions(model, test, "vec_id", "label")
+    model, _, test = _fitted_lbfgs(spark, sf_dir)
+    return classifiers.predictions(model, test, "doc_id", "lang")
+
+
+@query("logistic_lbfgs_certificate", f"SELECT label, true AS is_optimal FROM ({_TRAIN_LABELS})")
+def logistic_lbfgs_certificate(spark, sf_dir):
+    model, train, _ = _fitted_lbfgs(spark, sf_dir)
+    found = _certified(spark, model, train, 0.0, 0.0)
+    return found.select("label", (F.col("worst") < SLACK).alias("is_optimal"))
+
+
+def _fitted_network(spark, sf_dir):
+    train, test = _text_parts(spark, sf_dir, SMALL_FEATURES)
+    return classifiers.fit_perceptron(train, "lang", HIDDEN_LAYERS), test
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf_dir):
-    train, test = _embedding_parts(spark, sf_dir)
-    model = classifiers.fit_perceptron(train, "label", HIDDEN_LAYERS)
-    return classifiers.predictions(model, test, "vec_id", "label")
+    model, test = _fitted_network(spark, sf_dir)
+    return classifiers.predictions(model, test, "doc_id", "lang")
+
+
+@query("mlp_layers_agree", _HELD_OUT)
+def mlp_layers_agree(spark, sf_dir):
+    """The network against a forward pass over its tables of weights."""
+    model, test = _fitted_network(spark, sf_dir)
+    entries = features.vector_entries(test, "features", ["doc_id"])
+    own = layers.predict(entries, "doc_id", layers.network_layers(spark, model.stages[1]), model.stages[0].labels)
+    return _agreement(classifiers.predictions(model, test, "doc_id", "lang"), own)
 
 
 @query("cv_grid_metrics")
