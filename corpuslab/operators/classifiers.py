@@ -129,6 +129,21 @@ def predictions(model: PipelineModel, df: DataFrame, id_column: str, label: str)
     )
 
 
+def stored_stages(spark: SparkSession, path: str) -> DataFrame:
+    """(stage, kind, params) of a saved pipeline, from the metadata that it was stored with.
+
+    ``params`` holds set and default parameters as JSON text without outer quotes.
+    """
+    lines = spark.read.text(f"{path}/stages/*/metadata").select("value", F.col("_metadata.file_path").alias("file"))
+    stage = F.regexp_extract("file", r"/stages/(\d+)_", 1).cast("long")
+    listed = lambda name: F.coalesce(F.from_json(F.get_json_object("value", f"$.{name}"), "map<string,string>"),
+                                     F.create_map().cast("map<string,string>"))
+    own, default = listed("paramMap"), listed("defaultParamMap")
+    unset = F.map_filter(default, lambda k, _: ~F.array_contains(F.map_keys(own), k))
+    kind = F.element_at(F.split(F.get_json_object("value", "$.class"), r"\."), -1)
+    return lines.select(stage.alias("stage"), kind.alias("kind"), F.map_concat(own, unset).alias("params"))
+
+
 def tree_summary(spark: SparkSession, model) -> DataFrame:
     """One row per tree of a fitted forest or single tree: depth, nodes, features used."""
     trees = getattr(model, "trees", [model])

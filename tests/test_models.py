@@ -56,15 +56,20 @@ def test_hashed_tables_have_a_fixed_number_of_features(docs):
     assert model.predict(docs, "id", "text", "label").count() == len(DOCS)
 
 
-def test_scores_do_not_depend_on_the_join(docs, monkeypatch):
+@pytest.mark.parametrize("partitions", ["8", "150"])
+def test_scores_do_not_depend_on_the_join(spark, docs, monkeypatch, partitions):
     model = naive_bayes.fit_naive_bayes(docs, "label", "text", F.col("train"))
     def score():
         return {r.id: pytest.approx(r.score) for r in model.predict(docs, "id", "text", "label").collect()}
     small = score()
-    original = naive_bayes.lookup_join
+    original, calls = naive_bayes.lookup_join, []
     monkeypatch.setattr(naive_bayes, "lookup_join",
-                        lambda *a, **k: original(*a, **k, broadcast_bytes=0, salts=4))
-    assert score() == small
+                        lambda *a, **k: calls.append(1) or original(*a, **k, broadcast_bytes=0))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert score() == small and calls
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_metrics_of_a_small_table(spark):

@@ -15,9 +15,14 @@ def connection():
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
-def test_query_equals_sql(spark, connection, name):
+def test_query_equals_sql(spark, connection, capsys, name):
     q = QUERIES[name]
-    assert differences(name, q.plan(spark, SF_DIR), connection, q.sql) == []
+    frame = q.plan(spark, SF_DIR)
+    frame.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
+    assert differences(name, frame, connection, q.sql) == []
 
 
 def _pairs(spark, name):
@@ -50,16 +55,6 @@ def test_tuning_names_one_best_setting(spark):
     assert 0 <= best[0].test_accuracy <= 1
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_plans_hold_no_product_join(spark, capsys, name):
-    if QUERIES[name].sql is None:
-        pytest.skip("fits are eager; their plans are Spark's own")
-    QUERIES[name].plan(spark, SF_DIR).explain()
-    plan = capsys.readouterr().out
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan
-
-
 def test_entry_points(spark):
     assert entry_module.entry(spark).columns == ["doc_id", "label", "prediction", "score"]
     assert entry_module.queries().keys() >= entry_module.oracle_sql().keys()
