@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from corpuslab.operators import features, profiling
 from corpuslab.plans.registry import query
 from corpuslab.session import scratch_path
-from corpuslab.sources import delimited, libsvm
+from corpuslab.sources import delimited, libsvm, records
 from corpuslab.sources.tables import load_table
 
 _DOCUMENT = StructType([
@@ -31,6 +31,14 @@ def csv_roundtrip(spark, sf_dir):
     return delimited.read_delimited(spark, path, _DOCUMENT)
 
 
+@query("csv_records_roundtrip", "SELECT doc_id, lang, text FROM documents")
+def csv_records_roundtrip(spark, sf_dir):
+    """One file of all documents, newlines and all, read by as many tasks as it has ranges."""
+    docs = load_table(spark, sf_dir, "documents", _DOCUMENT.names, "doc_id")
+    path = delimited.write_delimited(docs.coalesce(1), scratch_path(spark, "csv"), file_bytes=2**62)
+    return records.read_records(spark, path, _DOCUMENT)
+
+
 @query(
     "csv_inferred_types",
     "SELECT c_mktsegment, count(*) AS n, max(c_custkey)::BIGINT AS max_key, "
@@ -80,6 +88,16 @@ def csv_malformed_counts(spark, sf_dir):
     return profiling.class_counts(marked, "is_malformed")
 
 
+@query(
+    "csv_records_malformed",
+    "SELECT event_type = 'error' AS is_malformed, count(*) AS n FROM events GROUP BY 1",
+)
+def csv_records_malformed(spark, sf_dir):
+    path = _events_with_short_lines(spark, sf_dir)
+    marked = records.read_records(spark, path, _EVENT, header=False, malformed=records.MARK)
+    return profiling.class_counts(marked, "is_malformed")
+
+
 @query(
     "csv_header_schema",
     "SELECT doc_id::VARCHAR AS doc_id, lang, source, n_chars::VARCHAR AS n_chars FROM documents",

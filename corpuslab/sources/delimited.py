@@ -22,7 +22,7 @@ NEWS_SCHEMA = StructType(
 
 # Quotes are doubled, null has its own mark and the empty string is written as "",
 # so text survives a round trip unless it is that mark itself.
-_QUOTING = {"quote": '"', "escape": '"', "nullValue": "\\N"}
+QUOTING = {"quote": '"', "escape": '"', "nullValue": "\\N"}
 
 
 FILE_BYTES = 128 * 1024 * 1024
@@ -47,7 +47,7 @@ def write_delimited(
     """
     max_records_per_file = _records_per_file(df, file_bytes)
     (
-        df.write.options(**_QUOTING)
+        df.write.options(**QUOTING)
         .option("sep", sep)
         .option("header", header)
         .option("maxRecordsPerFile", max_records_per_file)
@@ -61,7 +61,7 @@ def write_delimited(
 def _reader(spark: SparkSession, sep: str, header: bool, multi_line: bool):
     """Reader of what the sink writes."""
     return (
-        spark.read.options(**_QUOTING)
+        spark.read.options(**QUOTING)
         .option("emptyValue", "")
         .option("sep", sep)
         .option("header", header)
