@@ -48,11 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN_SCOPES: list[list[str]] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
+def scratch_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A path below the shared folder that no other run uses.
+
+    It belongs to the innermost open scope, or with ``outlive`` to the one around that.
+    """
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _OPEN_SCOPES:
-        _OPEN_SCOPES[-1].append(path)
+    scopes = _OPEN_SCOPES[:-1] if outlive else _OPEN_SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return path
 
 
@@ -64,21 +68,21 @@ def scratch_scope(spark: SparkSession):
     try:
         yield
     finally:
-        _OPEN_SCOPES.remove(paths)
+        _OPEN_SCOPES[:] = [p for p in _OPEN_SCOPES if p is not paths]
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         for path in paths:
             place = hadoop(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; see :func:`scratch_path` for ``outlive``.
 
     Later uses start from the stored table, so they neither repeat the work
     nor depend on executors that may be gone, and the optimizer sees its size.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, outlive)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
