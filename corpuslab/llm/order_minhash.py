@@ -5,10 +5,14 @@ words, each labelled with its occurrence, and keeps them in text order; texts th
 one sketch are candidates. Short texts have keys that miss no similar pair. Candidates are compared by the longest common run of shingles in
 order, within the band of diagonals that similarity 0.8 allows.
 
-Equal texts are folded first, so groups of copies cost one text. Within a bucket nothing is
-paired with its own class: each round compares the members with a few leaders of other
-classes. Rounds go on until a bucket has one class, or all members outside its largest class
-have led, so that every pair of members in different classes was compared.
+Equal texts are folded first, so groups of copies cost one text. First each bucket's members
+are compared with one leader, which settles buckets of one class. In a bucket that stays open,
+as where many different texts share a long passage, members are compared only if they also
+share a rare shingle: with all shingles in one order, frequent ones last, texts at the
+similarity share one of the first n - 0.8 n + 1 of both, and a common passage is not among
+these. Within such a group each round compares the members with a few leaders of other
+classes, until it has one class or all members outside its largest class have led. So every
+similar pair of a bucket is linked or was found to be in one class.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.batches import Texts, U, WHITE_SPACE, mix, slices, windows, words
 from corpuslab.llm.components import components
-from corpuslab.session import materialize
+from corpuslab.session import materialize, scratch_scope
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +36,7 @@ SAMPLED = 5  # shingles per sketch; at similarity 0.8 a pair misses all sketches
 EXACT = 18  # texts with up to so many shingles have exact keys; those with up to 14 have no sketches
 KEY_SHINGLES = 3  # shingles that an exact key holds
 LEADERS = 4  # each round has this many times the leaders of the last
+COUNTERS = 1 << 20  # of shingles, shared by those that fall on one; they only set the order
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -60,6 +65,7 @@ def labelled_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         run_start = np.concatenate([[True], own[at][1:] != own[at][:-1]])
         place = np.arange(len(at))
         occurrence = place - np.maximum.accumulate(np.where(run_start, place, 0))
+        at, occurrence = at[occurrence > 0], occurrence[occurrence > 0]  # the first is as if alone
         value[at] = mix(value[at] + occurrence.astype(np.uint64) * U(0xA24BAED4963EE407))
     return row, value
 
@@ -214,33 +220,36 @@ def text_key(text: str):
 
 
 def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, class_id, n_links, key) for each row: rows of one class are exact or near copies.
+    """(id, class_id, key) for each row: rows of one class are exact or near copies.
 
-    ``class_id`` is the smallest id of the class; ``n_links`` counts the other texts found
-    similar to the row's text; texts already known to be of one class are not compared. Equal texts (null counts as empty) are one class; a text
-    without words is linked to its equals only. Rows with a null id get a class like any
-    other; the id is null only for classes without any id. Repeated rows stay repeated.
+    ``class_id`` is the smallest id of the class. Equal texts (null counts as empty) are one
+    class; a text without words is linked to its equals only. Rows with a null id get a class
+    like any other; the id is null only for classes without any id. Repeated rows stay repeated.
     """
     rows = docs.select(text_key(text).alias("key"), F.col(id).alias("id"), F.col(text).alias("text"))
-    sketches = materialize(sketched(rows), "sketches")
-    labels, links = labelled_texts(rows, sketches)
-    own = sketches.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = _labelled(rows)
     least = own.groupBy("label").agg(F.min("id").alias("class_id"))
-    return own.join(least, "label").join(links, "key", "left").select(
-        F.col("id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key")
+    return own.join(least, "label").select(F.col("id"), "class_id", "key")
 
 
-def labelled_texts(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For texts that have near copies: (key, label), equal within a class, and (key, n_links)."""
+def _labelled(rows: DataFrame) -> DataFrame:
+    """(key, id, label) of (key, id, text); what it takes to get there is removed from the scratch folder."""
+    with scratch_scope(rows.sparkSession):
+        sketches = materialize(sketched(rows), "sketches")
+        labels = labelled_texts(rows, sketches)
+        own = sketches.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        return materialize(own, "labelled-rows", outlive=True)
+
+
+def labelled_texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """For texts that have near copies: (key, label), equal within a class."""
     texts = sketches.groupBy("key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     # short numbers stand for the keys from here on; stored, so that they stay the same
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    links = find_links(rows, texts)
     named = texts.select("key", "node")
-    label = components(links).withColumnRenamed("key", "node").join(named, "node").select("key", F.col("label").alias("l")).join(
+    return components(find_links(rows, texts)).withColumnRenamed("key", "node").join(named, "node").select(
+        "key", F.col("label").alias("l")).join(
         named.select(F.col("node").alias("l"), F.col("key").alias("label")), "l").select("key", "label")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    return materialize(label, "labels"), degree.join(named, "node").select("key", "n_links")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -249,9 +258,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     Rows without an id come last. Of rows that repeat the same id and text one stays.
     """
     rows = docs.select(text_key(text).alias("key"), F.col(id).alias("id"), F.col(text).alias("text"))
-    sketches = materialize(sketched(rows), "sketches")
-    labels, _ = labelled_texts(rows, sketches)
-    own = sketches.select("key", "id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = _labelled(rows)
     kept = own.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("k")).select(
         F.col("k.id").alias("_kept_id"), F.col("k.key").alias("_kept_key"))
     found = docs.withColumn("_own_key", text_key(text)).join(
@@ -260,48 +267,110 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
 
 
 def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different texts, by node, from (key, node, n, buckets)."""
+    """Verified links (a, b) between different texts, by node, from (key, node, n, buckets).
+
+    Links that join texts already known to be of one class may be left out.
+    """
     entries = texts.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = materialize(entries.join(shared, "bucket"), "bucket-members")
     wanted = texts.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
     bodies = materialize(
         rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    spark = rows.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tested, led, leaders_per_bucket = links, None, 1
+
+    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("l")).select(
+        "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
+    tested = materialize(_near_in_size(members.join(first, "bucket").where("node <> leader")), "pairs")
+    links = materialize(_verified(tested, bodies), "links")
+    members, _ = _open_groups(members, links)
+    members = materialize(_by_rare_shingle(members, bodies), "group-members")
+
+    leaders_per_group, led = LEADERS, None
     while True:
-        if led is None:
-            able = labelled = members.withColumn("label", F.col("node"))
-        else:
-            labels = components(links)
-            labelled = members.join(labels.withColumnRenamed("key", "node"), "node", "left").withColumn(
-                "label", F.coalesce("label", "node"))
-            labelled = materialize(labelled, "labelled-members")
-            sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-            open_buckets = sizes.groupBy("bucket").agg(
-                F.count("*").alias("n_labels"), F.max(F.struct("size", "label")).alias("l")).where(
-                "n_labels > 1").select("bucket", F.col("l.label").alias("main"))
-            labelled = labelled.join(open_buckets, "bucket")
-            members = labelled.select("node", "n", "bucket")  # settled buckets stay out
-            # a pair of two classes has a member outside the largest, so that one need not lead
-            able = labelled.where("label <> main").join(
-                led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
-        split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_bucket))
-        leaders = materialize(able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("l")).select(
-            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label")),
-            "leaders")
+        labelled, main = _open_groups(members, links)
+        labelled = materialize(labelled.join(main, "bucket"), "open-members")
+        members = labelled.select("node", "n", "bucket")  # settled groups stay out
+        # a pair of two classes has a member outside the largest, so that one need not lead
+        able = labelled.where("label <> main")
+        if led is not None:
+            able = able.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
+        split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
+        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("l")).select(
+            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label"))
+        leaders = materialize(leaders, "leaders")
         if leaders.isEmpty():
             return links
-        pairs = labelled.join(leaders, "bucket").where(
-            (F.col("label") != F.col("leader_label"))
-            & (5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n")))
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        pairs = _near_in_size(labelled.join(leaders, "bucket").where("label <> leader_label"))
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        side = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-        found = _similar(pairs.join(side("b"), "b").join(side("a"), "a"))
-        links = links.unionByName(materialize(found, "links"))
-        tested = tested.unionByName(pairs)
+        # each round's state is stored whole, so that plans do not grow with the rounds
+        links = materialize(links.unionByName(_verified(pairs, bodies)), "links")
+        tested = materialize(tested.unionByName(pairs), "tested")
         own = leaders.select("bucket", "leader")
-        led = own if led is None else led.unionByName(own)
-        leaders_per_bucket *= LEADERS
+        led = own if led is None else materialize(led.unionByName(own), "led")
+        leaders_per_group *= LEADERS
+
+
+def _near_in_size(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) of members and leaders whose numbers of shingles allow the similarity."""
+    near = pairs.where(5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n"))
+    return near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    side = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
+    return _similar(pairs.join(side("b"), "b").join(side("a"), "a"))
+
+
+def _open_groups(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the labels that the links give them, in groups with several; and each such
+    group's largest label, as (bucket, main)."""
+    labels = components(links).withColumnRenamed("key", "node")
+    labelled = materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-members")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("n_labels"), F.max(F.struct("size", "label")).alias("l")).where(
+        "n_labels > 1").select("bucket", F.col("l.label").alias("main"))
+    return labelled.join(several.select("bucket"), "bucket", "left_semi"), several
+
+
+def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Members of open buckets in smaller groups: those of a bucket that share a rare shingle.
+
+    Similar texts have at least 0.8 n of each one's n shingles in common, so with all shingles in
+    one order they share one among the first n - 0.8 n + 1 of both. Any order will do; one by
+    frequency among these texts keeps common passages out. Frequencies are counted by hash in a
+    table of fixed size, the only thing that passes the driver.
+    """
+    own = materialize(bodies.join(members.select("node").distinct(), "node", "left_semi"), "open-texts")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for texts in slices(batch.column("text")):
+                _, value = labelled_shingles(texts)
+                total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+    counts = own.select("text").mapInArrow(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    frequency = np.zeros(COUNTERS, np.int64)
+    found = counts.toArrow()
+    frequency[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column("text")):
+                row, value = labelled_shingles(texts)
+                order = np.lexsort((value, frequency[(value % U(COUNTERS)).astype(np.int64)], row))
+                row, value = row[order], value[order]
+                n = np.bincount(row, minlength=len(texts))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(pa.array(texts.first + row[first])), pa.array(value[first].view(np.int64))],
+                    names=["node", "shingle"])
+
+    shingles = materialize(own.select("node", "text").mapInArrow(rarest, "node long, shingle long"), "rare-shingles")
+    again = shingles.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
+    shared = shingles.join(again, "shingle")
+    return members.select("bucket", "node", "n").join(shared, "node").select(
+        F.xxhash64("bucket", "shingle").alias("bucket"), "node", "n")

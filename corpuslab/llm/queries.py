@@ -24,9 +24,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_order_minhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its class of exact and near copies, and the number of its links."""
-    return order_minhash.classes(documents(spark, sf_dir)).select(
-        F.col("id").alias("doc_id"), "class_id", "n_links")
+    """One row per document: its class of exact and near copies."""
+    return order_minhash.classes(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id")
 
 
 @query("op5_decontamination")

@@ -68,3 +68,34 @@ def test_one_more_word_than_eight(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r.id: r.class_id for r in order_minhash.classes(docs).collect()}
     assert found == {i: i - i % 2 for i in range(60)}
+
+
+def test_common_passage_does_not_pair_all_texts(spark, one_bucket, monkeypatch):
+    """Texts that share three of four words are in one bucket, but only the planted copies are compared and linked."""
+    rng = random.Random(8)
+    passage = " ".join(f"common{k}" for k in range(150))
+    compared = []
+    original = order_minhash._verified
+
+    def counting(pairs, bodies):
+        compared.append(pairs.count())
+        return original(pairs, bodies)
+
+    monkeypatch.setattr(order_minhash, "_verified", counting)
+    numbers = {}
+    for n in (250, 500, 1000):
+        compared.clear()
+        texts = {i: f"{passage} " + " ".join(f"own{i}x{k}" for k in range(50)) for i in range(n)}
+        for i in range(0, n, 50):  # a copy with one word changed, far from its original
+            texts[n + i] = texts[i].replace(f"own{i}x30", f"new{rng.random()}")
+        assert one_bucket(texts) == {(i, n + i) for i in range(0, n, 50)}
+        numbers[n] = sum(compared)
+    assert numbers[1000] <= 2.5 * numbers[500] <= 6.25 * numbers[250]
+
+
+def test_a_shingle_counts_once_more_where_it_is_repeated(spark):
+    """The first of two equal shingles equals the only one of another text."""
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(words + words[:6])
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    assert {r.class_id for r in order_minhash.classes(docs).collect()} == {1}
