@@ -6,13 +6,13 @@ one sketch are candidates. Short texts have keys that miss no similar pair. Cand
 order, within the band of diagonals that similarity 0.8 allows.
 
 Equal texts are folded first, so groups of copies cost one text. First each bucket's members
-are compared with one leader, which settles buckets of one class. In a bucket that stays open,
-as where many different texts share a long passage, members are compared only if they also
-share a rare shingle: with all shingles in one order, frequent ones last, texts at the
-similarity share one of the first n - 0.8 n + 1 of both, and a common passage is not among
-these. Within such a group each round compares the members with a few leaders of other
-classes, until it has one class or all members outside its largest class have led. So every
-similar pair of a bucket is linked or was found to be in one class.
+are compared with one leader, which settles buckets of one class. Members of buckets that stay
+open, as where many different texts share a long passage, are dealt anew, to groups that share
+a rare shingle: with all shingles in one order, frequent ones last, texts at the similarity
+share one of the first n - 0.8 n + 1 of both, and a common passage is not among these. Within
+such a group each round compares the members with a few leaders of other classes, until it
+has one class or all members outside its largest class have led. So every similar pair of a
+bucket is linked or was found to be in one class.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.batches import Texts, U, WHITE_SPACE, mix, slices, windows, words
@@ -273,13 +273,12 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     entries = texts.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = materialize(entries.join(shared, "bucket"), "bucket-members")
+    members = materialize(entries.join(shared, "bucket").withColumn("place", F.lit(0).cast("long")), "bucket-members")
     wanted = texts.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
     bodies = materialize(
         rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
-    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("l")).select(
-        "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
+    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "place")).alias("l")).select("bucket", *_leader())
     tested = materialize(_near_in_size(members.join(first, "bucket").where("node <> leader")), "pairs")
     links = materialize(_verified(tested, bodies), "links")
     members, _ = _open_groups(members, links)
@@ -289,14 +288,14 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     while True:
         labelled, main = _open_groups(members, links)
         labelled = materialize(labelled.join(main, "bucket"), "open-members")
-        members = labelled.select("node", "n", "bucket")  # settled groups stay out
+        members = labelled.select("node", "n", "place", "bucket")  # settled groups stay out
         # a pair of two classes has a member outside the largest, so that one need not lead
         able = labelled.where("label <> main")
         if led is not None:
             able = able.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
         split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
-        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "label")).alias("l")).select(
-            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.label").alias("leader_label"))
+        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "place", "label")).alias("l")).select(
+            "bucket", *_leader(), F.col("l.label").alias("leader_label"))
         leaders = materialize(leaders, "leaders")
         if leaders.isEmpty():
             return links
@@ -310,9 +309,18 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         leaders_per_group *= LEADERS
 
 
+def _leader() -> list[Column]:
+    return [F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.place").alias("leader_place")]
+
+
 def _near_in_size(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) of members and leaders whose numbers of shingles allow the similarity."""
-    near = pairs.where(5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n"))
+    """Distinct (a, b) of members and leaders whose numbers of shingles allow the similarity.
+
+    ``place`` is that of the shared shingle in the order of rare ones. Where it is the first one
+    shared, no more are in common than come from there on; similar pairs pass at that one.
+    """
+    near = pairs.where(9 * F.least(F.col("n") - F.col("place"), F.col("leader_n") - F.col("leader_place"))
+                       >= 4 * (F.col("n") + F.col("leader_n")))
     return near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
@@ -333,7 +341,7 @@ def _open_groups(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Members of open buckets in smaller groups: those of a bucket that share a rare shingle.
+    """Members of open buckets, (node, n, place, bucket), in groups that share a rare shingle.
 
     Similar texts have at least 0.8 n of each one's n shingles in common, so with all shingles in
     one order they share one among the first n - 0.8 n + 1 of both. Any order will do; one by
@@ -366,11 +374,10 @@ def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 first = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(pa.array(texts.first + row[first])), pa.array(value[first].view(np.int64))],
-                    names=["node", "shingle"])
-
-    shingles = materialize(own.select("node", "text").mapInArrow(rarest, "node long, shingle long"), "rare-shingles")
-    again = shingles.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1").select("shingle")
-    shared = shingles.join(again, "shingle")
-    return members.select("bucket", "node", "n").join(shared, "node").select(
-        F.xxhash64("bucket", "shingle").alias("bucket"), "node", "n")
+                    [batch.column("node").take(pa.array(texts.first + row[first])), pa.array(n[row[first]]),
+                     pa.array(place[first]), pa.array(value[first].view(np.int64))], names=["node", "n", "place", "bucket"])
+
+    shingles = own.select("node", "text").mapInArrow(rarest, "node long, n long, place long, bucket long")
+    shingles = materialize(shingles, "rare-shingles")
+    again = shingles.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    return shingles.join(again, "bucket", "left_semi")
