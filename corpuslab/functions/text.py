@@ -176,7 +176,7 @@ def joined_ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` applied to a value that is computed once, however often it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -198,4 +198,4 @@ def counted_elements(array: Column) -> Column:
         return F.zip_with(ends, before, lambda e, b: F.struct(
             e["term"].alias("term"), (e["at"] - b).cast("bigint").alias("tf")))
 
-    return F.when(array.isNotNull(), _bound(_bound(F.sort_array(array), run_ends), lengths))
+    return F.when(array.isNotNull(), bound(bound(F.sort_array(array), run_ends), lengths))
