@@ -47,6 +47,10 @@ STRIDE = 32  # a notice of up to this many words lies whole in some block of twi
 _WORDS = [sorted(set(t.split())) for _, t in TEMPLATES]
 VOCABULARY = sorted({w for ws in _WORDS for w in ws} | {w for p in PHRASES for w in p.split()})
 _ASCII_SEPARATORS = "".join(chr(b) for b in range(128) if not (chr(b).isdigit() or chr(b).islower()))
+# For each template the others that share the threshold of the shorter one's words.
+_ALIKE = [
+    [o for o in range(len(_WORDS)) if o != t and len(set(_WORDS[t]) & set(_WORDS[o])) >= CONTAINED * min(len(set(_WORDS[t])), len(set(_WORDS[o])))]
+    for t in range(len(_WORDS))]
 ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
@@ -80,7 +84,11 @@ def _phrase_starts(phrase: str) -> Column:
 
 
 def _template_hits(rows: DataFrame) -> DataFrame:
-    """(row, label, score): the templates that each block of a row contains best."""
+    """(row, label, score): the templates that a block of the row contains.
+
+    All templates at the threshold count, but one that nearly equals another (gpl, lgpl) gives
+    way where the other fits the same block better, or as well with more words.
+    """
     counted = rows.select(F.explode("_known.w").alias("w")).groupBy("w").count().collect()  # template words only
     count = {r["w"]: r["count"] for r in counted}
     rank = {w: k for k, w in enumerate(sorted(VOCABULARY, key=lambda w: (count.get(w, 0), w)))}
@@ -105,12 +113,12 @@ def _template_hits(rows: DataFrame) -> DataFrame:
     pairs = pairs.join(F.broadcast(templates), "template").where(F.size("words") >= F.col("needed"))  # length filter
     shared = F.size(F.array_intersect("words", "ordered"))
     found = pairs.where(shared >= F.col("needed")).select(
-        "_row", "block", F.struct((shared / F.size("ordered")).alias("score"), "label").alias("hit"))
-    # of templates that differ by a word, those that fit the block best name it
-    best = found.groupBy("_row", "block").agg(F.collect_set("hit").alias("hits"))  # at most the templates
-    top = F.array_max(F.transform("hits", lambda h: h["score"]))
-    return best.select("_row", F.explode(F.filter("hits", lambda h: h["score"] == top)).alias("h")).select(
-        "_row", "h.label", "h.score")
+        "_row", "block", F.struct((shared / F.size("ordered")).alias("score"), F.size("ordered").alias("size"), "label", "template").alias("hit"))
+    hits = found.groupBy("_row", "block").agg(F.collect_set("hit").alias("hits"))  # at most the templates
+    alike = F.create_map(*[x for t in range(len(TEMPLATES)) for x in (F.lit(t), F.array(*[F.lit(o) for o in _ALIKE[t]]).cast("array<int>"))])
+    beaten = lambda h: F.exists("hits", lambda g: (F.struct(g["score"], g["size"]) > F.struct(h["score"], h["size"])) & F.array_contains(
+        F.element_at(alike, h["template"]), g["template"]))
+    return hits.select("_row", F.explode(F.filter("hits", lambda h: ~beaten(h))).alias("h")).select("_row", "h.label", "h.score")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

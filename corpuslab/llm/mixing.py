@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.numbering import numbered
+
 # Words, weights by rank, and the most often a source is repeated.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -35,7 +37,10 @@ BY_RANK: tuple[Schedule, ...] = (
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the number of words and the key that orders each source's stream."""
+    """``docs`` with ``size``, the number of words, and the key that orders each source's stream.
+
+    Null texts have none. Columns of these names (``size``, ``_key``) are replaced.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in docs.columns if c not in {"size", "_key"}]
     return docs.select(
@@ -122,14 +127,12 @@ def position(share: Column, schedule: Schedule) -> Column:
     return result
 
 
-def mix(docs: DataFrame, schedules: Mapping[str | None, Schedule] | None = None, id: str = "doc_id",
-        text: str = "text", source: str = "source") -> DataFrame:
-    """Documents as often as the mix takes them, range-sorted by training position.
+def copies_in_time(plan: DataFrame, schedules: Mapping[str | None, Schedule] | None = None, source: str = "source") -> DataFrame:
+    """One row per copy that the mix takes of the rows of :func:`planned`: ``_copy`` from 0, and ``_at``,
+    the time from 0 to 1 at which the source's schedule has it due.
 
-    Columns are those of ``docs``; ``schedules`` gives weights over time by source, others
-    take :data:`BY_RANK` in turn. Each copy of a document has its own position.
+    ``schedules`` gives weights over time by source, others take :data:`BY_RANK` in turn.
     """
-    plan = planned(sized(docs, id, text), source)
     copy = plan.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = (F.col("_before") + F.col("_copy") * F.col("source_size")) / F.col("target")
     at = F.when(F.col("_rank") % len(BY_RANK) == 0, position(share, BY_RANK[0]))
@@ -139,7 +142,31 @@ def mix(docs: DataFrame, schedules: Mapping[str | None, Schedule] | None = None,
     for name, schedule in (schedules or {}).items():
         is_it = F.col(source).isNull() if name is None else F.col(source) == name
         own = F.when(is_it, position(share, schedule)) if own is None else own.when(is_it, position(share, schedule))
-    at = at if own is None else F.coalesce(own, at)
-    placed = copy.withColumn("_at", at)
+    return copy.withColumn("_at", at if own is None else F.coalesce(own, at))
+
+
+def sequenced(plan: DataFrame, schedules: Mapping[str | None, Schedule] | None = None, source: str = "source") -> DataFrame:
+    """Rows of :func:`planned` with ``first_at`` and ``first_place``: time of the first copy, and its
+    place from 0 among all copies of the mix in training order. Null for rows that are not taken."""
+    kept = [c for c in plan.columns if c not in {"first_at", "first_place"}]
+    placed = numbered(copies_in_time(plan, schedules, source), [F.col("_at"), F.col("_key"), F.col("_copy")], "_place")
+    taken = placed.where("_copy = 0").select(*kept, F.col("_at").alias("first_at"), F.col("_place").alias("first_place"))
+    rest = plan.where("copies = 0").select(
+        *kept, F.lit(None).cast("double").alias("first_at"), F.lit(None).cast("long").alias("first_place"))
+    return taken.unionByName(rest)
+
+
+def mix(docs: DataFrame, schedules: Mapping[str | None, Schedule] | None = None, id: str = "doc_id",
+        text: str = "text", source: str = "source") -> DataFrame:
+    """Documents as often as the mix takes them, range-sorted by training position.
+
+    Columns are those of ``docs``, values too, whatever their names; each copy of a document has
+    its own position. Null texts and texts without words are never taken, null sources are one
+    source, null ids and repeated rows are as good as others; ties in position go by a hash of id
+    and text. An empty table gives no rows. Texts count whole, however long.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id}`").alias("id"),
+                         F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
+    placed = copies_in_time(planned(sized(packed, "id", "text").drop("text")), schedules)
     ordered = placed.repartitionByRange("_at", "_key").sortWithinPartitions("_at", "_key")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return ordered.select("_doc.*")

@@ -9,8 +9,9 @@ Equal texts are folded first, so groups of copies cost one text. First each buck
 are compared with one leader, which settles buckets of one class. Members of buckets that stay
 open, as where many different texts share a long passage, are dealt anew, to groups that share
 a rare shingle: with all shingles in one order, frequent ones last, texts at the similarity
-share one of the first n - 0.8 n + 1 of both, and a common passage is not among these. Within
-such a group each round compares the members with a few leaders of other classes, until it
+share one of the first n - 0.8 n + 1 of both, and a common passage is not among these. Texts
+whose shingle parities differ in more bits than similar texts have shingles of their own are
+not compared. Within such a group each round compares the members with a few leaders of other classes, until it
 has one class or all members outside its largest class have led. So every similar pair of a
 bucket is linked or was found to be in one class.
 """
@@ -35,7 +36,8 @@ SKETCHES = 24
 SAMPLED = 5  # shingles per sketch; at similarity 0.8 a pair misses all sketches once in 15,000
 EXACT = 18  # texts with up to so many shingles have exact keys; those with up to 14 have no sketches
 KEY_SHINGLES = 3  # shingles that an exact key holds
-LEADERS = 4  # each round has this many times the leaders of the last
+LEADERS = 16  # each round has this many times the leaders of the last
+PARITIES = 256  # bits that say of a text's shingles, hashed to them, whether their number is odd
 COUNTERS = 1 << 20  # of shingles, shared by those that fall on one; they only set the order
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -273,28 +275,31 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     entries = texts.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = materialize(entries.join(shared, "bucket").withColumn("place", F.lit(0).cast("long")), "bucket-members")
+    members = entries.join(shared, "bucket").select(
+        "node", "n", "bucket", F.lit(0).cast("long").alias("place"), F.array().cast("array<bigint>").alias("parity"))
+    members = materialize(members, "bucket-members")
     wanted = texts.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
     bodies = materialize(
         rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
-    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "place")).alias("l")).select("bucket", *_leader())
+    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "place", "parity")).alias("l")).select("bucket", *_leader())
     tested = materialize(_near_in_size(members.join(first, "bucket").where("node <> leader")), "pairs")
     links = materialize(_verified(tested, bodies), "links")
     members, _ = _open_groups(members, links)
     members = materialize(_by_rare_shingle(members, bodies), "group-members")
 
-    leaders_per_group, led = LEADERS, None
+    leaders_per_group, led, is_new = LEADERS, None, True
     while True:
-        labelled, main = _open_groups(members, links)
-        labelled = materialize(labelled.join(main, "bucket"), "open-members")
-        members = labelled.select("node", "n", "place", "bucket")  # settled groups stay out
+        if is_new:  # else all labels are as they were
+            labelled, main = _open_groups(members, links)
+            labelled = materialize(labelled.join(main, "bucket"), "open-members")
+            members = labelled.select("node", "n", "place", "parity", "bucket")  # settled groups stay out
         # a pair of two classes has a member outside the largest, so that one need not lead
         able = labelled.where("label <> main")
         if led is not None:
             able = able.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
         split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
-        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "place", "label")).alias("l")).select(
+        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "place", "parity", "label")).alias("l")).select(
             "bucket", *_leader(), F.col("l.label").alias("leader_label"))
         leaders = materialize(leaders, "leaders")
         if leaders.isEmpty():
@@ -302,7 +307,9 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = _near_in_size(labelled.join(leaders, "bucket").where("label <> leader_label"))
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         # each round's state is stored whole, so that plans do not grow with the rounds
-        links = materialize(links.unionByName(_verified(pairs, bodies)), "links")
+        found = materialize(_verified(pairs, bodies), "links")
+        is_new = not found.isEmpty()
+        links = materialize(links.unionByName(found), "links") if is_new else links
         tested = materialize(tested.unionByName(pairs), "tested")
         own = leaders.select("bucket", "leader")
         led = own if led is None else materialize(led.unionByName(own), "led")
@@ -310,17 +317,22 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _leader() -> list[Column]:
-    return [F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.place").alias("leader_place")]
+    return [F.col(f"l.{c}").alias(f"leader_{c}") for c in ("n", "place", "parity")] + [F.col("l.node").alias("leader")]
 
 
 def _near_in_size(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b) of members and leaders whose numbers of shingles allow the similarity.
 
     ``place`` is that of the shared shingle in the order of rare ones. Where it is the first one
-    shared, no more are in common than come from there on; similar pairs pass at that one.
+    shared, no more are in common than come from there on; similar pairs pass at that one. Each
+    bit in which parities differ needs a shingle that only one text has; there are a ninth of
+    both texts' shingles at most.
     """
-    near = pairs.where(9 * F.least(F.col("n") - F.col("place"), F.col("leader_n") - F.col("leader_place"))
-                       >= 4 * (F.col("n") + F.col("leader_n")))
+    total = F.col("n") + F.col("leader_n")
+    rest = F.least(F.col("n") - F.col("place"), F.col("leader_n") - F.col("leader_place"))
+    differ = F.aggregate(F.zip_with("parity", "leader_parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+                         F.lit(0), lambda a, x: a + x)
+    near = pairs.where((9 * rest >= 4 * total) & (9 * differ <= total))
     return near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
@@ -341,7 +353,7 @@ def _open_groups(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Members of open buckets, (node, n, place, bucket), in groups that share a rare shingle.
+    """Members of open buckets, (node, n, place, parity, bucket), in groups that share a rare shingle.
 
     Similar texts have at least 0.8 n of each one's n shingles in common, so with all shingles in
     one order they share one among the first n - 0.8 n + 1 of both. Any order will do; one by
@@ -373,11 +385,16 @@ def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
                 n = np.bincount(row, minlength=len(texts))
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 first = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+                at, bit = row[first], (mix(value) % U(PARITIES)).astype(np.int64)
+                odd = np.bincount(row * PARITIES + bit, minlength=len(texts) * PARITIES).reshape(-1, PARITIES) & 1
+                parity = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * parity.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(pa.array(texts.first + row[first])), pa.array(n[row[first]]),
-                     pa.array(place[first]), pa.array(value[first].view(np.int64))], names=["node", "n", "place", "bucket"])
+                    [batch.column("node").take(pa.array(texts.first + at)), pa.array(n[at]), pa.array(place[first]),
+                     pa.ListArray.from_arrays(ends, pa.array(parity[at].reshape(-1))), pa.array(value[first].view(np.int64))],
+                    names=["node", "n", "place", "parity", "bucket"])
 
-    shingles = own.select("node", "text").mapInArrow(rarest, "node long, n long, place long, bucket long")
+    shingles = own.select("node", "text").mapInArrow(rarest, "node long, n long, place long, parity array<bigint>, bucket long")
     shingles = materialize(shingles, "rare-shingles")
     again = shingles.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     return shingles.join(again, "bucket", "left_semi")

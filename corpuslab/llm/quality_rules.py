@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import bound
 from corpuslab.llm.voting import Reliability, fit_reliability
 
 # Word characters, symbols, windows and limits of the base rules.
@@ -65,28 +66,29 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         _alias("n_lines"): F.size(lines),
         _alias("stops"): F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
-        # a 64-bit hash stands for the eight words; windows compare only within one text
-        _alias("windows"): F.when(
-            n >= WINDOW,
-            F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
+        "n_repeat_words": bound(words, _repeated_words).cast("long"),
     })
-    windows = F.col(_alias("windows"))
-    rows = rows.withColumn(_alias("sorted"), F.when(
-        F.size(F.array_distinct(windows)) < F.size(windows),
-        F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    rows = rows.withColumn(_alias("hit"), F.array_sort(F.transform(
-        F.filter(F.col(_alias("sorted")), _has_equal_neighbour), lambda x: x["i"])))
-    rows = rows.withColumn("n_repeat_words", F.coalesce(_covered(F.col(_alias("hit"))), F.lit(0)).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
     return rows.select(*[F.col(f"`{c}`") for c in kept], *FEATURES, "base_failed", *_votes())
 
 
-def _has_equal_neighbour(x: Column, k: Column) -> Column:
-    order = F.col(_alias("sorted"))
-    return ((k > 0) & (F.get(order, k - 1)["h"] == x["h"])) | F.coalesce(
-        F.get(order, k + 1)["h"] == x["h"], F.lit(False))
+def _repeated_words(words: Column) -> Column:
+    """Words in windows found twice or more. What inner functions read is bound first, so that a
+    filter on the result, moved below the projection, does not work it out for every window."""
+    # a 64-bit hash stands for the eight words; windows compare only within one text
+    n = F.size(words)
+    hashes = F.when(n >= WINDOW, F.transform(
+        F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), bound(
+        F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _covered_by_repeats)).otherwise(F.lit(0)))
+
+
+def _covered_by_repeats(order: Column) -> Column:
+    def has_equal_neighbour(x: Column, k: Column) -> Column:
+        return ((k > 0) & (F.get(order, k - 1)["h"] == x["h"])) | F.coalesce(F.get(order, k + 1)["h"] == x["h"], F.lit(False))
+
+    return _covered(F.array_sort(F.transform(F.filter(order, has_equal_neighbour), lambda x: x["i"])))
 
 
 def _covered(starts: Column) -> Column:

@@ -106,27 +106,42 @@ levels AS (
 common AS (
   SELECT arg_min(level, (limit_ / weight, rank)) AS level FROM levels WHERE level * weight < limit_),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, rank,
          coalesce(least((SELECT level FROM common) * weight, CAST(limit_ AS DOUBLE)), CAST(limit_ AS DOUBLE)) AS target
   FROM levels),
 streams AS (
-  SELECT doc_id, source, size,
+  SELECT doc_id, source, size, key,
          coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            + size / 2 AS middle
-  FROM rows_)
-SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, t.source_size, t.target,
-       CAST(CASE WHEN s.size = 0 THEN 0
-                 ELSE greatest(0, least(3, ceil((t.target - s.middle) / t.source_size))) * s.size END AS BIGINT) AS taken
-FROM streams s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM rows_),
+plan AS (
+  SELECT s.*, t.source_size, t.target, t.rank,
+         CAST(CASE WHEN s.size = 0 THEN 0
+                   ELSE greatest(0, least(3, ceil((t.target - s.middle) / t.source_size))) END AS BIGINT) AS copies
+  FROM streams s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+-- each copy's share of its source's words, and the time at which weights of 1.5 falling to 0.5, of 1, or of
+-- 0.5 rising to 1.5 have that share due
+shares AS (
+  SELECT *, (middle + copy * source_size) / target AS share FROM (SELECT *, unnest(range(copies)) AS copy FROM plan)),
+timed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN (sqrt(greatest(1.5 * 1.5 + 2 * -1.0 * share, 0.0)) - 1.5) / -1.0
+                          WHEN 1 THEN share
+                          ELSE (sqrt(greatest(0.5 * 0.5 + 2 * 1.0 * share, 0.0)) - 0.5) / 1.0 END AS at_ FROM shares),
+placed AS (SELECT *, row_number() OVER (ORDER BY at_, key, copy) - 1 AS place FROM timed)
+SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.source_size, p.target, CAST(p.copies * p.size AS BIGINT) AS taken,
+       round(f.at_, 9) AS first_at, f.place AS first_place
+FROM plan p LEFT JOIN placed f ON f.copy = 0 AND f.doc_id IS NOT DISTINCT FROM p.doc_id AND f.key = p.key
 """
 
 
 @query("op6_curriculum_mix", SQL_MIX)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, with its source's size and target."""
+    """Words that the mix takes of each document, with its source's size and target, and when it first comes."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     sizes = materialize(mixing.sized(docs).drop("text"), "mix-sizes")
-    return mixing.planned(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    plan = materialize(mixing.planned(sizes), "mix-plan")
+    return mixing.sequenced(plan).select("doc_id", "size", "source_size", "target", "taken",
+                                         F.round("first_at", 9).alias("first_at"), "first_place")
 
 
 @query("op4_cotraining")

@@ -13,13 +13,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.batches import slices
@@ -49,7 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold one of these are encoded whole: the library cuts them there
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
         self.marks = {c: self._ids(c) for c in _ENDINGS}
         self._forget()
@@ -98,7 +99,8 @@ class Encoder:
             self._forget()
         bodies = [t.rstrip(" \n\t\r") for t in texts]
         split = [b.replace("\n", " \n").split(" ") for b in bodies]
-        new = set(chain.from_iterable(p[1:] for p in split)).difference(self.spaced)
+        plain = [p[1:] for t, p in zip(texts, split) if not any(a in t for a in self.added)]
+        new = set(chain.from_iterable(plain)).difference(self.spaced)
         if new:
             self._learn(new)
         known, found = self.spaced.__getitem__, []
@@ -106,6 +108,9 @@ class Encoder:
             if not text:
                 found.append(self.end)
                 continue
+            if any(a in text for a in self.added):
+                found.append(self._ids(text) + self.end)
+                continue
             tail = text[len(body):]
             try:
                 ids = (self._exact(pieces[0]) if pieces[0] else b"") + b"".join(map(known, pieces[1:]))
@@ -213,16 +218,18 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (over + least[:, None]).reshape(-1)[:n_ids], lengths
 
 
-def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text") -> None:
-    """Encode every text, append ``end_id``, and write images in ascending id order to ``path``.
+def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text",
+          order: Sequence[Column] = ()) -> None:
+    """Encode every text, append ``end_id``, and write images to ``path`` in ``order``, by default ascending id.
 
     Null ids come first, equal ids lie together (ordered by a hash of their text), null text
     counts as empty and gives the end id alone. Repeated rows are written as often as they
     occur; an empty table gives no images. Other columns are not written.
     """
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
+    keys = [c.alias(f"order_{k}") for k, c in enumerate(order)]
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keys)
+    by = [F.col(f"order_{k}") for k in range(len(keys))] or [F.col("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "text")
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +297,9 @@ def digests(images: DataFrame, id: str = "doc_id") -> DataFrame:
         run, f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id)
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text",
+               order: Sequence[Column] = ()) -> DataFrame:
     """Write token files to the shared folder and give the digests of what is read back."""
     path = scratch_path(docs.sparkSession, "token-files")
-    write(docs, path, tokenizer_file, end_id, id, text)
+    write(docs, path, tokenizer_file, end_id, id, text, order)
     return digests(read(docs.sparkSession, path), id)
