@@ -11,9 +11,9 @@ open, as where many different texts share a long passage, are dealt anew, to gro
 a rare shingle: with all shingles in one order, frequent ones last, texts at the similarity
 share one of the first n - 0.8 n + 1 of both, and a common passage is not among these. Texts
 whose shingle parities differ in more bits than similar texts have shingles of their own are
-not compared. Within such a group each round compares the members with a few leaders of other classes, until it
-has one class or all members outside its largest class have led. So every similar pair of a
-bucket is linked or was found to be in one class.
+not compared. Within such a group each round compares a few leaders with a few members of other classes, then with
+more, until the group has one class or all members outside its largest class have met all
+others. So every similar pair of a bucket is linked or was found to be in one class.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ SKETCHES = 24
 SAMPLED = 5  # shingles per sketch; at similarity 0.8 a pair misses all sketches once in 15,000
 EXACT = 18  # texts with up to so many shingles have exact keys; those with up to 14 have no sketches
 KEY_SHINGLES = 3  # shingles that an exact key holds
-LEADERS = 16  # each round has this many times the leaders of the last
+LEADERS = 6  # each round has this many times the leaders, and members that meet them, of the last
 PARITIES = 256  # bits that say of a text's shingles, hashed to them, whether their number is odd
 COUNTERS = 1 << 20  # of shingles, shared by those that fall on one; they only set the order
 _TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -249,7 +249,7 @@ def labelled_texts(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     # short numbers stand for the keys from here on; stored, so that they stay the same
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     named = texts.select("key", "node")
-    return components(find_links(rows, texts)).withColumnRenamed("key", "node").join(named, "node").select(
+    return _linked(rows, texts)[1].join(named, "node").select(
         "key", F.col("label").alias("l")).join(
         named.select(F.col("node").alias("l"), F.col("key").alias("label")), "l").select("key", "label")
 
@@ -273,6 +273,11 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     Links that join texts already known to be of one class may be left out.
     """
+    return _linked(rows, texts)[0]
+
+
+def _linked(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links, and (node, label) of every linked text."""
     entries = texts.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = entries.join(shared, "bucket").select(
@@ -285,35 +290,41 @@ def find_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     first = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "place", "parity")).alias("l")).select("bucket", *_leader())
     tested = materialize(_near_in_size(members.join(first, "bucket").where("node <> leader")), "pairs")
     links = materialize(_verified(tested, bodies), "links")
-    members, _ = _open_groups(members, links)
+    labels = components(links).withColumnRenamed("key", "node")
+    members, _ = _open_groups(members, labels)
     members = materialize(_by_rare_shingle(members, bodies), "group-members")
 
-    leaders_per_group, led, is_new = LEADERS, None, True
+    reach, led, is_new = LEADERS, None, True
     while True:
         if is_new:  # else all labels are as they were
-            labelled, main = _open_groups(members, links)
+            labelled, main = _open_groups(members, labels)
             labelled = materialize(labelled.join(main, "bucket"), "open-members")
             members = labelled.select("node", "n", "place", "parity", "bucket")  # settled groups stay out
+        stride = F.ceil(F.col("size") / reach)  # 1: all members of the group take part
         # a pair of two classes has a member outside the largest, so that one need not lead
         able = labelled.where("label <> main")
         if led is not None:
             able = able.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
-        split = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
-        leaders = able.groupBy("bucket", split.alias("part")).agg(F.min(F.struct("node", "n", "place", "parity", "label")).alias("l")).select(
-            "bucket", *_leader(), F.col("l.label").alias("leader_label"))
+        split = F.pmod(F.xxhash64("node"), F.lit(reach))
+        leaders = able.groupBy("bucket", split.alias("part")).agg(
+            F.min(F.struct("node", "n", "place", "parity", "label")).alias("l"), F.first("size").alias("of")).select(
+            "bucket", *_leader(), F.col("l.label").alias("leader_label"), "of")
         leaders = materialize(leaders, "leaders")
         if leaders.isEmpty():
-            return links
-        pairs = _near_in_size(labelled.join(leaders, "bucket").where("label <> leader_label"))
+            return links, labels
+        partners = labelled.where(F.pmod(F.xxhash64("node", F.lit(1)), stride) == 0)
+        pairs = _near_in_size(partners.join(leaders, "bucket").where("label <> leader_label"))
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         # each round's state is stored whole, so that plans do not grow with the rounds
         found = materialize(_verified(pairs, bodies), "links")
         is_new = not found.isEmpty()
-        links = materialize(links.unionByName(found), "links") if is_new else links
+        if is_new:
+            links = materialize(links.unionByName(found), "links")
+            labels = materialize(_merged(labels, found), "labels")
         tested = materialize(tested.unionByName(pairs), "tested")
-        own = leaders.select("bucket", "leader")
+        own = leaders.where(F.col("of") <= reach).select("bucket", "leader")  # these have met all
         led = own if led is None else materialize(led.unionByName(own), "led")
-        leaders_per_group *= LEADERS
+        reach *= LEADERS
 
 
 def _leader() -> list[Column]:
@@ -341,14 +352,23 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return _similar(pairs.join(side("b"), "b").join(side("a"), "a"))
 
 
-def _open_groups(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with the labels that the links give them, in groups with several; and each such
-    group's largest label, as (bucket, main)."""
-    labels = components(links).withColumnRenamed("key", "node")
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (node, label) once the found links join classes. Only links between classes are followed."""
+    side = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}"))
+    ends = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct()
+    joined = components(materialize(ends, "class-links")).select(F.col("key").alias("label"), F.col("label").alias("least"))
+    new = joined.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
+    return labels.unionByName(new).join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
+def _open_groups(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels (a text without links is its own), in groups with several; and
+    each such group's largest label and members, as (bucket, main, size)."""
     labelled = materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-members")
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("n_labels"), F.max(F.struct("size", "label")).alias("l")).where(
-        "n_labels > 1").select("bucket", F.col("l.label").alias("main"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("n_labels"), F.max(F.struct("size", "label")).alias("l"), F.sum("size").alias("of")).where(
+        "n_labels > 1").select("bucket", F.col("l.label").alias("main"), F.col("of").alias("size"))
     return labelled.join(several.select("bucket"), "bucket", "left_semi"), several
 
 
