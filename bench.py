@@ -34,7 +34,8 @@ HEADLINE = [
     "nb_term_loglik", "nb_predict", "nb_tfidf_predict", "nb_hashed_tfidf_predict",
     "nb_counted_tfidf_ml_predict", "nb_hashed_ml_predict", "random_forest_predict",
     "entropy_forest_predict", "decision_tree_predict", "logistic_predict",
-    "logistic_lbfgs_predict", "mlp_predict", "kmeans_assign", "kmeans_update", "kmeans_fit",
+    "logistic_lbfgs_predict", "nb_class_terms_predict", "nb_dictionary_tfidf_predict", "cv_naive_bayes_metrics",
+    "term_dictionary", "count_vectors", "text_kmeans_assign", "kmeans_assign", "kmeans_update", "kmeans_fit",
     "text_kmeans_fit", "cv_grid_metrics",
     # evaluation
     "metric_weighted", "nb_metric_weighted",
