@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -168,3 +170,76 @@ def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
             found.append(("hex", *m.span()))
     rank = ["assign", "access", "hex"]
     return sorted(found, key=lambda s: (s[1], rank.index(s[0])))
+
+
+def cotrained(rows: list[tuple], labels: dict[int, dict[str, int]]) -> dict[str, list]:
+    """Weights of both views of each head, by dense matrices and sorted log odds, one row at a time."""
+    import pyarrow as pa
+
+    from corpuslab.llm import cotraining as c
+    from corpuslab.llm.batches import slices
+
+    def matrix(n, triples, width):
+        dense = np.zeros((n, width + 1))
+        dense[:, -1] = 1
+        for r, s, x in triples:
+            dense[r, s] = x
+        return dense
+
+    texts = next(slices(pa.array([r[1] for r in rows]), 1 << 30))
+    words = [(r, s, float(np.float16(x))) for r, s, x in zip(*c._text_view(texts))]
+    on = c._meta_view(texts, *([None if r[k] is None else str(r[k]) for r in rows] for k in (2, 3, 4)))
+    views = [matrix(len(rows), words, c.WORD_SLOTS + c.SHAPE_SLOTS),
+             matrix(len(rows), [(r, s, 1.0) for r in range(len(rows)) for s in on[r]], c.META_SLOTS)]
+    known = sorted((i for i, r in enumerate(rows) if r[0] in labels), key=lambda i: rows[i][0])
+    pool = [i for i, r in enumerate(rows) if r[0] not in labels]
+    known = [i for k, i in enumerate(known) if k % 4]
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def downhill(weights, slope, steps, rate):
+        m, q = np.zeros_like(weights), np.zeros_like(weights)
+        for t in range(1, steps + 1):
+            g = slope(weights) + 1e-5 * np.append(weights[:-1], 0)
+            m, q = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g * g
+            weights = weights - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(q / (1 - 0.99 ** t)) + 1e-9)
+        return weights
+
+    def surest(odds, wanted):
+        """Weight of each row: the largest bins first, the last one in equal parts."""
+        bins = np.floor((odds + c.REACH) * c.BINS / (2 * c.REACH))
+        weight, left = np.zeros(len(odds)), wanted
+        for b in sorted(set(bins), reverse=True):
+            inside = bins == b
+            weight[inside] = min(left / inside.sum(), 1)
+            left -= weight[inside].sum()
+        return weight
+
+    result = {}
+    for head in c.HEADS:
+        y = np.array([labels[rows[i][0]][head] for i in known], float)
+        share = y.mean()
+        prior = np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1))
+        own = lambda v, w: views[v][known].T @ (sigmoid(views[v][known] @ w) - y) / len(y)
+        weights = [downhill(np.append(np.zeros(views[v].shape[1] - 1), prior), lambda w, v=v: own(v, w), 80, 0.3) for v in (0, 1)]
+        for turn in range(c.ROUNDS):
+            wanted = max(c.PER_ROUND * len(pool) * (turn + 1), 1)
+            odds = [views[v][pool] @ weights[v] for v in (0, 1)]
+            good = [surest(o, wanted * share) for o in odds]
+            # bins of the negated odds would have their edges elsewhere
+            flipped = [2 * np.floor((o + c.REACH) * c.BINS / (2 * c.REACH)) + 1 - c.BINS for o in odds]
+            bad = [surest(-f * c.REACH / c.BINS, wanted * (1 - share)) for f in flipped]
+
+            def slope(w, v):
+                chance = sigmoid(views[v][pool] @ w)
+                taught = views[v][pool].T @ (good[1 - v] * (chance - 1) + bad[1 - v] * chance)
+                return (own(v, w) + c.TRUST * taught / wanted) / (1 + c.TRUST)
+
+            for v in (0, 1):
+                ahead = weights[v]
+                for t in range(1, c.STEPS + 1):
+                    new = ahead - (2.0, 4 / 11)[v] * slope(ahead, v)
+                    ahead, weights[v] = new + (t - 1) / (t + 2) * (new - weights[v]), new
+        result[head] = weights
+    return result

@@ -397,6 +397,33 @@ def test_classifier_on_labels_it_has_not_seen(spark, documents):
     assert all(0 <= r.score <= 1 and 0 <= r.toxicity <= 1 for r in found)
 
 
+def test_classifier_learns_from_every_unlabelled_row(spark, documents, odd):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    known = {r.doc_id for r in labels.where("quality is not null and toxic is not null").collect()}
+    ids = [r.doc_id for r in documents.select("doc_id").collect()]
+    several = documents.unionByName(documents.where("doc_id % 3 = 0"))  # repeated rows count
+    expected = sum(1 + (i % 3 == 0) for i in ids if i not in known)
+    assert cotraining.fit(several, labels).pool == expected > 0
+    first = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (5, 1, 1), (None, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert cotraining.fit(odd, first).pool == odd.count() - 4  # 1, 5 twice, 8; null ids are in the pool
+
+
+def test_classifier_agrees_with_a_plain_version(spark, documents):
+    some = documents.where("doc_id < 300")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("doc_id % 2 = 0")
+    model = cotraining.fit(some, labels)
+    rows = [(r.doc_id, r.text or "", r.lang, r.source, r.n_chars) for r in some.collect()]
+    plain = brute.cotrained(rows, {r.doc_id: {"quality": r.quality, "toxic": r.toxic} for r in labels.collect()})
+    for head in cotraining.HEADS:
+        for own, other in zip(model.weights[head], plain[head]):
+            assert np.abs(own - other).max() < 1e-3
+
+
+def test_shares_take_the_wanted_number_and_split_the_last_bin():
+    assert cotraining.shares(np.array([4, 0, 8, 2]), 5).tolist() == [0, 0, 3 / 8, 1]
+    assert cotraining.shares(np.array([4, 0, 8, 2]), 99).tolist() == [1, 0, 1, 1]
+
+
 def test_classifier_without_labels_or_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     scored = cotraining.score(odd, cotraining.fit(odd, none)).collect()
