@@ -7,10 +7,13 @@ and ``{m,}``. That is all the rules need.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
+MOST_RULES = 31  # their bits are 32-bit integers
+
 
 @dataclass
 class _States:
@@ -24,6 +27,17 @@ class _States:
         self.free.append([])
         return len(self.edges) - 1
 
+    def turned(self) -> _States:
+        """The same states with every edge the other way round."""
+        other = _States([[] for _ in self.edges], [[] for _ in self.edges])
+        for a, edges in enumerate(self.edges):
+            for on, b in edges:
+                other.edges[b].append((on, a))
+        for a, targets in enumerate(self.free):
+            for b in targets:
+                other.free[b].append(a)
+        return other
+
 
 class _Pattern:
     def __init__(self, pattern: str, states: _States, any_case: bool):
@@ -142,21 +156,28 @@ class Automaton:
         return int(self.byte_class.max()) + 1
 
 
-def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool) -> Automaton:
+def compile_rules(patterns: list[tuple[str, bool]], backward: bool = False) -> Automaton:
     """Subset construction and minimisation of all (pattern, any_case) rules together.
 
-    ``anywhere`` lets matches begin at every byte; otherwise they begin at the first.
+    Matches begin at the first byte. With ``backward`` the automaton reads bytes from the last to
+    the first, takes any byte as the end of a match and accepts where a match begins.
     """
+    if len(patterns) > MOST_RULES:
+        raise ValueError(f"{len(patterns)} rules; {MOST_RULES} share an automaton at most")
     states = _States()
     start = states.new()
-    final = {}
+    entries, final = [], {}
     for rule, (pattern, any_case) in enumerate(patterns):
         parser = _Pattern(pattern, states, any_case)
         begin, end = parser.either()
         if parser.at != len(pattern):
             raise ValueError(f"cannot read {pattern} from {parser.at}")
-        states.free[start].append(begin)
-        final[end] = rule
+        first, last = (end, begin) if backward else (begin, end)
+        entries.append(first)
+        final[last] = rule
+    if backward:
+        states = states.turned()
+    states.free[start] += entries
     byte_class, members = _byte_classes(states)
 
     def closure(found: set[int]) -> frozenset[int]:
@@ -169,7 +190,7 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool) -> Automaton
         return frozenset(found)
 
     first = closure({start})
-    again = first if anywhere else frozenset()
+    again = first if backward else frozenset()
     # what each state reaches on each byte class, free edges included
     reach = [{k: frozenset().union(*hit) for k, sample in enumerate(members)
               if (hit := [closure({t}) for on, t in edges if sample in on])} for edges in states.edges]
@@ -220,61 +241,87 @@ def _minimal(rows: np.ndarray, accepts: np.ndarray, byte_class: np.ndarray) -> A
     return Automaton(moves.astype(np.int32).reshape(-1), byte_class.astype(np.int32), accepted, stuck[0] if stuck else -1)
 
 
-FEW = 100  # with fewer lines left, a plain loop over their bytes is faster
+FEW = 100  # with fewer ranges left, a plain loop over their bytes is faster
+BLOCK = 1 << 20  # bytes that loop takes at a time
+
 
+def match_starts(machine: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each byte, the bits of all rules with a match that begins there and ends in its byte range.
 
-def accepted_rules(machine: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each byte range, the bits of all rules that match inside it; one pass over the bytes."""
+    ``machine`` reads backward. One pass over the bytes, the ranges side by side.
+    """
     size = end - start
     order = np.argsort(-size, kind="stable")
-    at, left = start[order], size[order]
+    last, left = end[order], size[order]
     kind = machine.byte_class[data]
     n_kinds = machine.classes
     scaled = machine.moves * n_kinds
-    seen_by_state = np.repeat(machine.accepts, n_kinds)
+    seen_by_state = np.repeat(machine.accepts, n_kinds).astype(np.int32)
     state = np.zeros(len(order), np.int32)
-    seen = np.zeros(len(order), np.int64)
+    begins = np.zeros(len(data), np.int32)
     alive = np.searchsorted(-left, -np.arange(int(left[0]) + 1 if len(left) else 1), side="left")
     step = 0
     while len(left) and step < left[0] and alive[step] >= FEW:
         n = alive[step]
-        state[:n] = scaled[state[:n] + kind[at[:n] + step]]
-        seen[:n] |= seen_by_state[state[:n]]
+        at = last[:n] - 1 - step
+        state[:n] = scaled[state[:n] + kind[at]]
+        begins[at] = seen_by_state[state[:n]]
         step += 1
     if len(left) and step < left[0]:
         moves, bits = scaled.tolist(), seen_by_state.tolist()
         for i in range(alive[step]):
-            s, b = int(state[i]), int(seen[i])
-            for k in kind[at[i] + step:at[i] + left[i]].tolist():
-                s = moves[s + k]
-                b |= bits[s]
-            seen[i] = b
-    result = np.zeros(len(order), np.int64)
-    result[order] = seen
-    return result
-
-
-def leftmost_longest(machine: Automaton, kinds: list[int]) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping matches of an anchored automaton, in byte classes."""
+            s, first = int(state[i]), int(last[i] - left[i])
+            for high in range(int(last[i]) - step, first, -BLOCK):
+                at = high
+                for k in kind[max(first, high - BLOCK):high][::-1].tolist():
+                    at -= 1
+                    s = moves[s + k]
+                    if bits[s]:
+                        begins[at] = bits[s]
+    return begins
+
+
+def longest_from(machine: Automaton, kinds: bytes, at: int, stop: int) -> dict[int, int]:
+    """Ends of the longest matches that begin at ``at`` and end by ``stop``, by the bits of the rules
+    that accept there: a rule's own end is the largest of those whose bits hold it."""
     moves, accepts, n_kinds, dead = _plain(machine)
-    found, i, n = [], 0, len(kinds)
-    while i < n:
-        s, last, j = 0, -1, i
-        while j < n:
-            s = moves[s * n_kinds + kinds[j]]
-            if s == dead:
-                break
-            j += 1
-            if accepts[s]:
-                last = j
-        if last > i:
-            found.append((i, last))
-            i = last
-        else:
-            i += 1
+    found, s = {}, 0
+    for j in range(at, stop):
+        s = moves[s * n_kinds + kinds[j]]
+        if s == dead:
+            break
+        if accepts[s]:
+            found[accepts[s]] = j + 1
     return found
 
 
+def leftmost_longest(forward: Automaton, backward: Automaton, data: np.ndarray, start: np.ndarray,
+                     end: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(begin, rule, end) of the leftmost, longest matches in each of the byte ranges, which are in order.
+
+    Those of one rule do not overlap. The backward pass says where matches begin; from there the
+    forward automaton, which holds all rules as well, runs to their ends. It runs from no byte
+    at which no rule matches, so the time is in proportion to the bytes and the matches.
+    """
+    begins = match_starts(backward, data, start, end)
+    at = np.flatnonzero(begins)
+    if len(at) == 0:
+        return
+    stop = end[np.searchsorted(end, at, side="right")]
+    kinds = forward.byte_class.astype(np.uint8)[data].tobytes()
+    free = [0] * MOST_RULES
+    rules_of: dict[int, list[int]] = {}
+    for a, bits, most in zip(at.tolist(), begins[at].tolist(), stop.tolist()):
+        if bits not in rules_of:
+            rules_of[bits] = [r for r in range(MOST_RULES) if bits >> r & 1]
+        wanted = [r for r in rules_of[bits] if free[r] <= a]
+        if wanted:
+            ends = longest_from(forward, kinds, a, most)
+            for r in wanted:
+                free[r] = max(b for own, b in ends.items() if own >> r & 1)
+                yield a, r, free[r]
+
+
 def _plain(machine: Automaton) -> tuple[list[int], list[int], int, int]:
     if not hasattr(machine, "_lists"):
         machine._lists = machine.moves.tolist(), machine.accepts.tolist(), machine.classes, machine.dead

@@ -1,7 +1,8 @@
 """Secret scan: all rules in one deterministic automaton, one pass over the bytes of each line.
 
-No rule matches across a line break, so lines are scanned side by side. Lines in which a
-rule matches are searched again for that rule's exact spans.
+The pass goes from the end of a line to its begin, so the automaton tells at which bytes a match
+of which rules begins; the same rules compiled forward give the ends, from those bytes only. No
+rule matches across a line break, so lines are scanned side by side.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.automaton import accepted_rules, compile_rules, leftmost_longest
+from corpuslab.llm.automaton import compile_rules, leftmost_longest
 from corpuslab.llm.batches import slices
 
 # Kind, pattern, any case, least length. Order is rank within equal starts.
@@ -46,19 +47,10 @@ def _accepts(rule: int, found: bytes) -> bool:
     return len(found) >= least
 
 
-def _shortest(pattern: str) -> str:
-    """The pattern without repeats at its end."""
-    if pattern.endswith("+)"):
-        return pattern[:-2] + ")"
-    return pattern.removesuffix("+").replace("{24,}", "{24}")
-
-
 class _Scanner:
     def __init__(self):
         rules = [(pattern, any_case) for _, pattern, any_case, _ in RULES]
-        # to know that a rule matches, the shortest match is enough; longer ones would multiply states
-        self.all = compile_rules([(_shortest(p), any_case) for p, any_case in rules], anywhere=True)
-        self.each = [compile_rules([r], anywhere=False) for r in rules]
+        self.forward, self.backward = compile_rules(rules), compile_rules(rules, backward=True)
 
     def spans(self, column: pa.Array) -> Iterator[list[dict]]:
         """Spans of each text, by start and then rule."""
@@ -66,17 +58,9 @@ class _Scanner:
             rows: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
             breaks = np.flatnonzero(texts.data == 10)
             edges = np.unique(np.concatenate([texts.offsets, breaks, breaks + 1]))
-            start, end = edges[:-1], edges[1:]
-            hits = accepted_rules(self.all, texts.data, start, end)
-            for line in np.flatnonzero(hits):
-                row = int(np.searchsorted(texts.offsets, start[line], side="right")) - 1
-                body = texts.data[start[line]:end[line]]
-                for rule in range(len(RULES)):
-                    if hits[line] >> rule & 1:
-                        machine = self.each[rule]
-                        for a, b in leftmost_longest(machine, machine.byte_class[body].tolist()):
-                            if _accepts(rule, body[a:b].tobytes()):
-                                rows[row].append((int(start[line]) + a, rule, int(start[line]) + b))
+            for a, rule, b in leftmost_longest(self.forward, self.backward, texts.data, edges[:-1], edges[1:]):
+                if _accepts(rule, texts.data[a:b].tobytes()):
+                    rows[int(np.searchsorted(texts.offsets, a, side="right")) - 1].append((a, rule, b))
             for row, found in enumerate(rows):
                 yield self._in_code_points(texts, row, found) if found else []
 
@@ -93,8 +77,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``spans``: every secret as (kind, start, end), in code points, end exclusive.
 
     Within a kind, matches are leftmost and do not overlap; too short ones are dropped. Null
-    and empty texts have no spans; other columns and repeated rows stay. A column named
-    ``spans`` is replaced.
+    and empty texts have no spans; other columns and repeated rows stay, an empty table gives an
+    empty one. A column named ``spans`` is replaced. Time grows with the bytes of a text, however
+    long, and with its matches.
     """
     kept = [c for c in docs.columns if c != "spans"]
     inner = docs.select([F.col(f"`{c}`") for c in kept])

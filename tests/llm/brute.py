@@ -156,6 +156,16 @@ def personal_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], rank.index(s[0])))
 
 
+def matches(text: str | None, rules) -> list[tuple[str, int, int]]:
+    """Spans of (kind, pattern, any case, least length) rules, each by itself, by start and then rule."""
+    found = []
+    for rank, (kind, pattern, any_case, least) in enumerate(rules):
+        for m in re.finditer(pattern, text or "", (re.IGNORECASE if any_case else 0) | re.ASCII):
+            if m.end() - m.start() >= least:
+                found.append((m.start(), rank, kind, m.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
 def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
     text, found = text or "", []
     assign = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""

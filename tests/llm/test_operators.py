@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -371,18 +372,55 @@ def test_secret_spans_equal_the_plain_ones(spark, documents, odd):
     assert [s.kind for s in secrets.scan(more).first().spans] == ["github", "pem", "login"]
 
 
-@pytest.mark.parametrize("pattern", [r"a(b|c)*d?", r"[^a]x" .replace("[^a]", "[b-d]"), r"(ab|a)c+", r"x{3,}y", r"\x20\.+"])
-def test_automata_match_as_patterns_do(pattern):
-    machine = automaton.compile_rules([(pattern, False)], anywhere=False)
-    rng = random.Random(pattern)
-    for _ in range(300):
-        text = "".join(rng.choice("abcdxy .") for _ in range(rng.randint(0, 14)))
-        kinds = machine.byte_class[np.frombuffer(text.encode(), np.uint8)].tolist()
-        assert automaton.leftmost_longest(machine, kinds) == [m.span() for m in re.finditer(pattern, text)]
+MORE_PARTS = ["ghp_", "ghs_", "a1B2" * 9, "xoxb-", "12345-abcdef", "AIza", "Sy_-x" * 8, "sk_live_", "rk_live_", "0a1B" * 6, "eyJ",
+              "eyJhbGci", ".", "eyJ0_-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----", "https://", "redis://", "me", ":", "p%w", "@",
+              " ", "\n", "é", "ftp://a:b@c"]
+
+
+def test_added_secret_kinds_equal_the_plain_ones(spark):
+    rng = random.Random(2)
+    made = [(i, "".join(rng.choice(MORE_PARTS) for _ in range(rng.randint(0, 40)))) for i in range(3000)]
+    found = secrets.scan(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    kinds = [k for k, *_ in secrets.MORE_RULES]
+    seen = set()
+    for r in found:
+        own = [(s.kind, s.start, s.end) for s in r.spans if s.kind in kinds]
+        assert own == brute.matches(r.text, secrets.MORE_RULES)
+        seen |= {kind for kind, _, _ in own}
+    assert seen == set(kinds)
+
+
+def test_many_secrets_in_one_line_in_linear_time(spark):
+    n = 50_000
+    units = ["password=abcdefgh ", "eyJ", "AKIA", "deadbeef", "-----BEGIN ", "https://a:"]
+    docs = spark.createDataFrame([(i, u * n) for i, u in enumerate(units)], "doc_id bigint, text string")
+    began = time.time()
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert time.time() - began < 60
+    assert [len(found[i]) for i in range(len(units))] == [n, 0, 1, 1, 0, 0]
+    assert (found[3][0].start, found[3][0].end) == (0, 8 * n)
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+@pytest.mark.parametrize("patterns", [
+    (r"a(b|c)*d?",), (r"[b-d]x",), (r"(ab|a)c+",), (r"x{3,}y",), (r"\x20\.+",),
+    (r"a(b|c)*d?", r"[b-d]x", r"(ab|a)c+", r"x{3,}y", r"\x20\.+", r"b+")])
+def test_automata_match_as_patterns_do(patterns, few, monkeypatch):
+    monkeypatch.setattr(automaton, "FEW", few)  # ranges side by side, or each by the plain loop
+    monkeypatch.setattr(automaton, "BLOCK", 5)
+    rules = [(p, False) for p in patterns]
+    forward, backward = automaton.compile_rules(rules), automaton.compile_rules(rules, backward=True)
+    rng = random.Random(str(patterns))
+    texts = ["".join(rng.choice("abcdxy .") for _ in range(rng.randint(0, 14))) for _ in range(600)]
+    edges = np.cumsum([0] + [len(t) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = sorted(automaton.leftmost_longest(forward, backward, data, edges[:-1], edges[1:]))
+    assert found == sorted((int(first) + m.start(), rule, int(first) + m.end()) for first, text in zip(edges, texts)
+                           for rule, p in enumerate(patterns) for m in re.finditer(p, text))
 
 
 def test_minimal_automata_have_no_equal_states():
-    machine = automaton.compile_rules([("(a|b)c", False), ("ac", False)], anywhere=False)
+    machine = automaton.compile_rules([("(a|b)c", False), ("ac", False)])
     assert len(machine.accepts) == 6  # start, after a, after b, both, one, none
 
 
