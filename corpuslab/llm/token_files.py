@@ -10,11 +10,14 @@ commits survive lost executors and any file system that Spark knows will do.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,11 @@ IMAGE_IDS = 1 << 20  # ids after which a new image begins; documents stay whole
 _HEADER = "<4sIQI"
 
 KNOWN_PIECES = 1_000_000
+TOGETHER = 4096  # new pieces that are encoded in one call
+RUN = 64  # words in each text of such a call
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _ENDINGS = ".,!?;:"
+_HELD = "corpuslab_worker_encoder"
 
 
 class Encoder:
@@ -48,9 +54,14 @@ class Encoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         # texts that hold one of these are encoded whole: the library cuts them there
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # whether a token begins with a space, which this encoding writes as U+0120
+        vocabulary = self.tokenizer.get_vocab()
+        self.spacing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spacing[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True
         self.end = np.array([end_id], "<u4").tobytes()
         self.marks = {c: self._ids(c) for c in _ENDINGS}
         self._forget()
@@ -64,6 +75,10 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        # the same ids as from encode; offsets, which nobody asks for, are not worked out
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _exact(self, chunk: str) -> bytes:
         found = self.exact.get(chunk)
         if found is None:
@@ -71,7 +86,7 @@ class Encoder:
         return found
 
     def _learn(self, pieces: set[str]) -> None:
-        known, plain = self.spaced, []
+        known, plain, others = self.spaced, [], []
         marked = [p for p in pieces if len(p) > 1 and p[-1] in _ENDINGS and p[-2].isalpha()]
         stems = {p[:-1] for p in marked}.difference(known) | pieces.difference(marked)
         for p in stems:
@@ -80,16 +95,19 @@ class Encoder:
             elif p[-1].isspace():
                 known[p] = None
             else:
-                known[p] = self._ids(p if p[0] == "\n" else " " + p)
-        for low in range(0, len(plain), 4096):
-            group = plain[low:low + 4096]
-            encoding = self.tokenizer.encode(" " + " ".join(group), add_special_tokens=False)
-            raw = np.array(encoding.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(encoding.word_ids), minlength=len(group)))
-            begin = 0
-            for p, end in zip(group, ends.tolist()):
-                known[p] = raw[begin:end]
-                begin = end
+                others.append(p)
+        for low in range(0, len(plain), TOGETHER):
+            group = plain[low:low + TOGETHER]
+            raw = np.concatenate(self._encoded([" " + " ".join(group[i:i + RUN]) for i in range(0, len(group), RUN)]))
+            begins = np.flatnonzero(self.spacing[raw])  # a space comes in once a word, as its first byte
+            if len(begins) == len(group):
+                known.update(zip(group, _cut(raw, np.append(begins, len(raw)).tolist())))
+            else:
+                others += group
+        for low in range(0, len(others), TOGETHER):
+            group = others[low:low + TOGETHER]
+            found = self._encoded([p if p[0] == "\n" else " " + p for p in group])
+            known.update((p, ids.tobytes()) for p, ids in zip(group, found))
         for p in marked:
             known[p] = known[p[:-1]] + self.marks[p[-1]]
 
@@ -123,6 +141,26 @@ class Encoder:
         return found
 
 
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this worker process, so that the pieces it knows outlive a task.
+
+    Functions that travel whole bring globals of their own to every task; the encoder is held
+    by a module of the process instead. One is held at a time, with ``KNOWN_PIECES`` at most.
+    """
+    file = os.stat(path)
+    held = sys.modules.setdefault(_HELD, ModuleType(_HELD))
+    own = path, end_id, file.st_mtime_ns, file.st_size
+    if getattr(held, "own", None) != own:
+        held.encoder, held.own = Encoder(path, end_id), own
+    return held.encoder
+
+
+def _cut(ids: np.ndarray, edges: list[int]) -> Iterator[bytes]:
+    """The bytes of 32-bit ids between each edge and the next."""
+    raw = ids.tobytes()
+    return (raw[4 * a:4 * b] for a, b in pairwise(edges))
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 256 values below 2**width as rows of 4 * width 64-bit words."""
     lanes = values.reshape(-1, 64).astype(np.uint64)
@@ -233,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id: str
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file, end_id)
+        encoder = worker_encoder(tokenizer_file, end_id)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         kept: list[bytes] = []

@@ -1,5 +1,6 @@
 """Operators against their plain versions, on the small table and on odd rows."""
 
+import functools
 import math
 import random
 import re
@@ -213,17 +214,40 @@ PIECES = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "it's", "'ll", " 's", "1",
           "\x1c", "\x85", " ", "<|endoftext|>", "word", "’", "\r\n", "ß", "日本", "\U0001f44d"]
 
 
+@functools.cache
+def encoders():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file()), token_files.Encoder(tokenizer_file(), END_ID)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=4))
 def test_pieces_encode_as_whole_texts_do(texts):
-    from tokenizers import Tokenizer
+    whole, encoder = encoders()
+    encoder._forget()  # as a new one
+    for _ in range(2):  # new pieces, then known ones
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [
+            [*whole.encode(t, add_special_tokens=False).ids, END_ID] for t in texts]
 
-    whole = Tokenizer.from_file(tokenizer_file())
-    found = token_files.Encoder(tokenizer_file(), END_ID).encode(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in found] == [
+
+def test_words_of_any_letters_encode_as_whole_texts_do():
+    rng = random.Random(5)
+    letters = "abcdefgzABZéßñøджשא日本語ªºʰǅ"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(9000)]
+    texts = [" ".join(made[i:i + 30]) for i in range(0, len(made), 30)]
+    whole, encoder = encoders()
+    encoder._forget()
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [
         [*whole.encode(t, add_special_tokens=False).ids, END_ID] for t in texts]
 
 
+def test_a_worker_holds_one_encoder():
+    first = token_files.worker_encoder(tokenizer_file(), END_ID)
+    assert token_files.worker_encoder(tokenizer_file(), END_ID) is first
+    assert token_files.worker_encoder(tokenizer_file(), END_ID + 1).encode([""]) == [np.array([END_ID + 1], "<u4").tobytes()]
+
+
 def test_digests_equal_a_plain_encoder(spark, documents, odd):
     import zlib
 
