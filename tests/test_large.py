@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from corpuslab.operators import classifiers, clustering, layers
+from corpuslab.operators import class_terms, classifiers, clustering, layers
 from corpuslab.plans import QUERIES
 from corpuslab.session import shared_dir
 
@@ -55,3 +55,16 @@ def test_documents_are_written_by_many_tasks(spark):
     assert QUERIES["csv_records_roundtrip"].plan(spark, SF_DIR).count() == 200
     path, = set(glob.glob(f"{shared_dir(spark)}/csv-*")) - before
     assert len(glob.glob(f"{path}/part-*")) > 1
+
+
+def test_folds_are_scored_where_the_rows_lie(spark, capsys):
+    data = [(i, "ab"[i % 2], None if i == 9 else " ".join(f"w{(i * k) % 7}" for k in range(i % 5)), i % 3) for i in range(60)]
+    docs = spark.createDataFrame(data, "id long, label string, text string, fold int")
+    entries = class_terms.text_entries(docs, "text", ["id", "label", "fold"], 20)
+    entries.explain()
+    assert "MapInArrow" in capsys.readouterr().out  # buckets are counted many rows at a time
+    assert [r.entries for r in entries.where("id = 9").collect()] == [None]
+    out = class_terms.cross_validated(entries, "id", "label", "fold", [1.0, 2.0], 20)
+    out.explain()
+    assert "Generate explode(entries" not in capsys.readouterr().out  # no row per entry
+    assert sum(r.n for r in out.collect()) == 2 * 60
