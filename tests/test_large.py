@@ -42,6 +42,9 @@ def test_trees_keep_a_bounded_part_of_the_rows_per_task(spark, monkeypatch):
     dealt = classifiers._dealt_for_trees(rows, 100, 8000)
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 200 and max(r["count"] for r in sizes) <= 30
+    width = 4_000_000  # 16 MB a row
+    most = max(r["count"] for r in classifiers._dealt_for_trees(rows, width).groupBy(F.spark_partition_id()).count().collect())
+    assert 4 * width * most <= 400e6
     monkeypatch.setattr(classifiers, "TREE_TASK_BYTES", 8000)
     seen = []
     plain = classifiers.Pipeline.fit
