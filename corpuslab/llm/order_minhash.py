@@ -38,6 +38,7 @@ EXACT = 18  # texts with up to so many shingles have exact keys; those with up t
 KEY_SHINGLES = 3  # shingles that an exact key holds
 LEADERS = 6  # each round has this many times the leaders, and members that meet them, of the last
 PARITIES = 256  # bits that say of a text's shingles, hashed to them, whether their number is odd
+KEY_BITS = 1 << 24  # of the table that tells which texts need not move
 COUNTERS = 1 << 20  # of shingles, shared by those that fall on one; they only set the order
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -285,7 +286,7 @@ def _linked(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialize(members, "bucket-members")
     wanted = texts.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
     bodies = materialize(
-        rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+        _that_may_be(rows.select("key", "text"), wanted).join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
     first = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "place", "parity")).alias("l")).select("bucket", *_leader())
     tested = materialize(_near_in_size(members.join(first, "bucket").where("node <> leader")), "pairs")
@@ -327,6 +328,15 @@ def _linked(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         reach *= LEADERS
 
 
+def _that_may_be(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows without most of those whose key is not wanted, by a bit table of fixed size, so that their text does not move."""
+    bit = lambda: F.pmod(F.xxhash64("key"), F.lit(KEY_BITS))
+    bits = wanted.select(F.shiftright(bit(), 6).alias("word"), bit().bitwiseAND(63).cast("int").alias("at")).groupBy(
+        "word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+    found = rows.join(F.broadcast(bits), F.shiftright(bit(), 6) == F.col("word"))
+    return found.where(F.getbit("bits", bit().bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+
+
 def _leader() -> list[Column]:
     return [F.col(f"l.{c}").alias(f"leader_{c}") for c in ("n", "place", "parity")] + [F.col("l.node").alias("leader")]
 

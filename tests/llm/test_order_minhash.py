@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.llm import order_minhash
 
@@ -99,3 +100,12 @@ def test_a_shingle_counts_once_more_where_it_is_repeated(spark):
     a, b = " ".join(words), " ".join(words + words[:6])
     docs = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
     assert {r.class_id for r in order_minhash.classes(docs).collect()} == {1}
+
+
+def test_only_candidates_move_their_text(spark):
+    rows = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("key"), F.lit("a text").alias("text"))
+    wanted = rows.select("key").orderBy("key").limit(70)
+    left = order_minhash._that_may_be(rows, wanted)
+    assert left.join(wanted, "key", "left_semi").count() == 70
+    assert left.count() <= 75 and left.columns == ["key", "text"]
+    assert order_minhash._that_may_be(rows, wanted.limit(0)).count() == 0
