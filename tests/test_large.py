@@ -71,3 +71,12 @@ def test_folds_are_scored_where_the_rows_lie(spark, capsys):
     out.explain()
     assert "Generate explode(entries" not in capsys.readouterr().out  # no row per entry
     assert sum(r.n for r in out.collect()) == 2 * 60
+
+
+def test_rows_in_one_of_many_tasks_are_dealt(spark):
+    """Empty tasks beside a full one do not count as dealt."""
+    rows = spark.range(1000).repartition(40, F.expr("pmod(id, 1)"))
+    dealt = classifiers._dealt_for_trees(rows, 100, 40_000)  # a hundred rows a task
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+    assert classifiers._dealt_for_trees(rows.where("id < 0"), 100, 40_000).count() == 0
