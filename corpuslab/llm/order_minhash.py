@@ -308,8 +308,8 @@ def _linked(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             able = able.join(led.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
         split = F.pmod(F.xxhash64("node"), F.lit(reach))
         leaders = able.groupBy("bucket", split.alias("part")).agg(
-            F.min(F.struct("node", "n", "place", "parity", "label")).alias("l"), F.first("size").alias("of")).select(
-            "bucket", *_leader(), F.col("l.label").alias("leader_label"), "of")
+            F.min(F.struct("node", "n", "place", "parity", "label")).alias("l"), F.first("size").alias("of"),
+            F.count(F.lit(1)).alias("able")).select("bucket", *_leader(), F.col("l.label").alias("leader_label"), "of", "able")
         leaders = materialize(leaders, "leaders")
         if leaders.isEmpty():
             return links, labels
@@ -323,14 +323,18 @@ def _linked(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             links = materialize(links.unionByName(found), "links")
             labels = materialize(_merged(labels, found), "labels")
         tested = materialize(tested.unionByName(pairs), "tested")
+        # a group whose members outside the largest class have all met all others is settled, whatever its classes are later
+        unsettled = materialize(leaders.where((F.col("of") > reach) | (F.col("able") > 1)).select("bucket").distinct(), "unsettled")
+        labelled = materialize(labelled.join(unsettled, "bucket", "left_semi"), "unsettled-members")
+        members = labelled.select("node", "n", "place", "parity", "bucket")
         own = leaders.where(F.col("of") <= reach).select("bucket", "leader")  # these have met all
-        led = own if led is None else materialize(led.unionByName(own), "led")
+        led = materialize((own if led is None else led.unionByName(own)).join(unsettled, "bucket", "left_semi"), "led")
         reach *= LEADERS
 
 
-def _that_may_be(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _that_may_be(rows: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
     """Rows without most of those whose key is not wanted, by a bit table of fixed size, so that their text does not move."""
-    bit = lambda: F.pmod(F.xxhash64("key"), F.lit(KEY_BITS))
+    bit = lambda: F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
     bits = wanted.select(F.shiftright(bit(), 6).alias("word"), bit().bitwiseAND(63).cast("int").alias("at")).groupBy(
         "word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     found = rows.join(F.broadcast(bits), F.shiftright(bit(), 6) == F.col("word"))
@@ -357,9 +361,14 @@ def _near_in_size(pairs: DataFrame) -> DataFrame:
     return near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
+def _texts_of(pairs: DataFrame, bodies: DataFrame, side: str) -> DataFrame:
+    """(a, text_a) or (b, text_b) from (node, text), without most texts that occur on no such side of a pair."""
+    return _that_may_be(bodies, pairs.select(F.col(side).alias("node")), "node").select(
+        F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    side = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    return _similar(pairs.join(side("b"), "b").join(side("a"), "a"))
+    return _similar(pairs.join(_texts_of(pairs, bodies, "b"), "b").join(_texts_of(pairs, bodies, "a"), "a"))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:

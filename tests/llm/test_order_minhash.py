@@ -109,3 +109,34 @@ def test_only_candidates_move_their_text(spark):
     assert left.join(wanted, "key", "left_semi").count() == 70
     assert left.count() <= 75 and left.columns == ["key", "text"]
     assert order_minhash._that_may_be(rows, wanted.limit(0)).count() == 0
+
+
+def test_only_texts_of_pairs_move(spark):
+    """Texts without a pair on the side asked for stay out of the join, so that rounds do not move all texts again."""
+    bodies = spark.range(3000).selectExpr("id as node", "concat('text ', id) as text")
+    pairs = spark.createDataFrame([(1, 2), (1, 2999)], "a bigint, b bigint")
+    a, b = (order_minhash._texts_of(pairs, bodies, side).collect() for side in "ab")
+    assert ("text 1" in [r.text_a for r in a]) and {"text 2", "text 2999"} <= {r.text_b for r in b}
+    assert len(a) <= 5 and len(b) <= 5
+
+
+def test_settled_groups_are_not_read_again(spark, monkeypatch):
+    """Groups whose members have all met stay out of later rounds; a large group of unlike texts goes on."""
+    sizes, original = [], order_minhash.materialize
+
+    def counting(df, name, outlive=False):
+        stored = original(df, name, outlive)
+        if name == "unsettled-members":
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(order_minhash, "materialize", counting)
+    # thirty pairs and a group of forty, with 32 of 48 shingles in common: one of these is among the first nine
+    texts = [[f"p{i}w{k}" for k in range(36)] + [f"p{i}{side}{k}" for k in range(8)] for i in range(30) for side in "ab"]
+    texts += [[f"run{k}" for k in range(36)] + [f"q{i}w{k}" for k in range(8)] for i in range(40)]
+    rows = spark.createDataFrame([(f"k{i}", " ".join(t)) for i, t in enumerate(texts)], "key string, text string")
+    nodes = spark.createDataFrame([(f"k{i}", i, len(t) - 4, [i // 2 if i < 60 else 1000]) for i, t in enumerate(texts)],
+                                  "key string, node bigint, n bigint, buckets array<bigint>")
+    assert order_minhash.find_links(rows, nodes).count() == 0
+    assert len(sizes) > 1 and sizes[-1] == 0 and sizes == sorted(sizes, reverse=True)
+    assert sizes[0] >= 40 and sizes[-2] % 40 == 0
