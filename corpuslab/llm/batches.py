@@ -87,7 +87,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(cls.up):
-            size = max(n, SLICE_BYTES + 1)
+            size = max(n, min(2 * n, SLICE_BYTES + 1))
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 powers = np.full(size, base, np.uint64)
                 powers[0] = 1

@@ -39,6 +39,7 @@ KEY_SHINGLES = 3  # shingles that an exact key holds
 LEADERS = 6  # each round has this many times the leaders, and members that meet them, of the last
 PARITIES = 256  # bits that say of a text's shingles, hashed to them, whether their number is odd
 KEY_BITS = 1 << 24  # of the table that tells which texts need not move
+SLICE = 1 << 18  # bytes of text at a time, as each byte takes some 45 of a worker's memory
 COUNTERS = 1 << 20  # of shingles, shared by those that fall on one; they only set the order
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -135,7 +136,7 @@ def sketched(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 row, value = labelled_shingles(texts)
                 counts, keys = _sketches(row, value, len(texts))
                 some = np.flatnonzero(counts)
@@ -203,7 +204,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("a").to_pylist()
             close = np.zeros(len(keys), bool)
-            for texts in slices(batch.column("text_b")):
+            for texts in slices(batch.column("text_b"), SLICE):
                 row, value = labelled_shingles(texts)
                 ends = np.searchsorted(row, np.arange(len(texts) + 1))
                 for r in range(len(texts)):
@@ -399,7 +400,7 @@ def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 _, value = labelled_shingles(texts)
                 total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
@@ -412,7 +413,7 @@ def _by_rare_shingle(members: DataFrame, bodies: DataFrame) -> DataFrame:
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 row, value = labelled_shingles(texts)
                 order = np.lexsort((value, frequency[(value % U(COUNTERS)).astype(np.int64)], row))
                 row, value = row[order], value[order]
