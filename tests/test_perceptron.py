@@ -77,3 +77,21 @@ def test_dense_rows_stay_with_pyspark(spark):
     data = [(i, "xy"[i % 2], Vectors.dense([float(i % 2), 1.0])) for i in range(8)]
     model = classifiers.fit_perceptron(spark.createDataFrame(data, ["id", "label", "features"]), "label", [3], max_iter=7)
     assert model.stages[1].getMaxIter() == 7
+
+
+def test_many_rows_take_the_first_layer_in_single_precision(spark, rows, monkeypatch):
+    entries = features.vector_entries(rows.where("label is not null"), "features", ["label"]).selectExpr(
+        "cast(ascii(label) - 97 as double) label_index", "slots", "values")
+    weights = np.random.default_rng(3).normal(0, 0.5, (WIDTH + 1) * 5 + 6 * 3)
+    loss, slope = perceptron._mean_loss(entries, [WIDTH, 5, 3])(weights)
+    for full in (0.5, 2.0):  # blocks at full width, blocks packed
+        monkeypatch.setattr(perceptron, "FULL", full)
+        near = perceptron._mean_loss(entries, [WIDTH, 5, 3], single=True)(weights)
+        assert near[0] == pytest.approx(loss, rel=1e-6) and near[1] == pytest.approx(slope, abs=1e-5)
+        assert (near[1] != slope).any()
+    asked, plain = [], perceptron.fit_weights
+    monkeypatch.setattr(perceptron, "fit_weights", lambda *a: asked.append(a[-1]) or plain(*a))
+    classifiers.fit_perceptron(rows, "label", [3], max_iter=2)
+    monkeypatch.setattr(classifiers, "SINGLE_ROWS", 94)
+    model = classifiers.fit_perceptron(rows, "label", [3], max_iter=2)
+    assert asked == [False, True] and len(model.stages[1].weights) == (WIDTH + 1) * 3 + 4 * 4
